@@ -110,3 +110,8 @@ def in_groups(values, chars: int = 1 << 20):
             group, size = [], 0
     if group:
         yield group
+
+
+def bound_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Bound the Arrow batches to Python by bytes, since texts and blocks are of any length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

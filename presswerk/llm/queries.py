@@ -17,5 +17,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {"op3_packing": op3_packing}
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswerk.llm.minhash import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+
+
+QUERIES = {"op3_packing": op3_packing, "op6_minhash": op6_minhash}
 ORACLES: dict[str, str] = {}
