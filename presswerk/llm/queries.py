@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswerk.llm import chat, urls
 from presswerk.llm.common import table
 
 
@@ -23,5 +24,23 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), size=3, num=85, den=100)
 
 
-QUERIES = {"op3_packing": op3_packing, "op6_minhash": op6_minhash}
-ORACLES: dict[str, str] = {}
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswerk.llm.chat import maximal_conversations
+
+    return maximal_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswerk.llm.urls import feed_list, judge
+
+    pages = table(spark, sf_dir, "pages")
+    return judge(spark, pages, feed_list(pages))
+
+
+QUERIES = {
+    "op3_packing": op3_packing,
+    "op6_minhash": op6_minhash,
+    "op7_chat": op7_chat,
+    "op8_urls": op8_urls,
+}
+ORACLES: dict[str, str] = {"op7_chat": chat.ORACLE, "op8_urls": urls.oracle()}
