@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswerk.llm import chat, urls
+from presswerk.llm import chat, urls, warc
 from presswerk.llm.common import table
 
 
@@ -37,10 +37,17 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, pages, feed_list(pages))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswerk.llm.warc import round_trip
+
+    return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op3_packing": op3_packing,
     "op6_minhash": op6_minhash,
     "op7_chat": op7_chat,
     "op8_urls": op8_urls,
+    "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {"op7_chat": chat.ORACLE, "op8_urls": urls.oracle()}
+ORACLES: dict[str, str] = {"op7_chat": chat.ORACLE, "op8_urls": urls.oracle(), "op10_warc": warc.ORACLE}
