@@ -80,7 +80,8 @@ class ChunkMemo(dict):
     """Maps white-space-free chunks to the bytes that ``make`` gives for a list of new ones.
 
     A text becomes one buffer, the joined bytes of its chunks, at the cost of a
-    dictionary look-up each.  At most ``limit`` chunks are remembered.
+    dictionary look-up each.  At most ``limit`` chunks are remembered, and only
+    those of 64 characters or less.
     """
 
     def __init__(self, make: Callable[[list], list[bytes]], limit: int = 400_000):
@@ -95,7 +96,11 @@ class ChunkMemo(dict):
             self.clear()
             new = list(seen)
         self.update(zip(new, self.make(new)))
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in texts]
+        out = [b"".join(map(self.__getitem__, chunks)) for chunks in texts]
+        for chunk in new:
+            if len(chunk) > 64:
+                del self[chunk]
+        return out
 
 
 def in_groups(values, chars: int = 1 << 20):

@@ -18,6 +18,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswerk.llm.langid import fit, held_out, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(spark, docs.where(~held_out(docs["doc_id"])))
+    return predict(spark, docs, model).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from presswerk.llm.minhash import near_duplicates
 
@@ -45,6 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op5_langid": op5_langid,
     "op6_minhash": op6_minhash,
     "op7_chat": op7_chat,
     "op8_urls": op8_urls,
