@@ -45,6 +45,13 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, pages, feed_list(pages))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswerk.llm.pii import detect, digest, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return digest(detect(spark, docs, fit(spark, docs)))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from presswerk.llm.warc import round_trip
 
@@ -57,6 +64,7 @@ QUERIES = {
     "op6_minhash": op6_minhash,
     "op7_chat": op7_chat,
     "op8_urls": op8_urls,
+    "op9_pii": op9_pii,
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {"op7_chat": chat.ORACLE, "op8_urls": urls.oracle(), "op10_warc": warc.ORACLE}
