@@ -178,7 +178,7 @@ def _labelled(text: str, spans: list[Span]) -> np.ndarray:
     return tags
 
 
-def train(found: list[str], seed: int = 3, epochs: int = 8, made: int = MADE_WINDOWS) -> Tagger:
+def train(found: list[str], seed: int = 3, epochs: int = 6, made: int = MADE_WINDOWS) -> Tagger:
     """A tagger from labelled spans: those of the rules in stretches of the corpus, and made ones in such contexts.
 
     Stretches in which a rule's match failed its check are left out, as the

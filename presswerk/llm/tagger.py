@@ -141,8 +141,9 @@ class Tagger:
                 loss, grad = self._step(ids[rows].T, tags[rows].T)
                 step += 1
                 size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-                now = rate * (1 - step / (total + 1)) * min(1.0, 5 / max(size, 1e-9))
+                now, cut = rate * (1 - step / (total + 1)), min(1.0, 5 / max(size, 1e-9))
                 for name, g in grad.items():
+                    g = g * cut
                     m[name] = 0.9 * m[name] + 0.1 * g
                     v[name] = 0.99 * v[name] + 0.01 * g * g
                     self.p[name] -= now * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
