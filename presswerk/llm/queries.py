@@ -9,6 +9,12 @@ from presswerk.llm import chat, urls, warc
 from presswerk.llm.common import table
 
 
+def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswerk.llm.pivots import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pivots": op1_pivots,
     "op3_packing": op3_packing,
     "op5_langid": op5_langid,
     "op6_minhash": op6_minhash,
