@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswerk.llm import chat, urls, warc
+from presswerk.llm import chat, topk, urls, warc
 from presswerk.llm.common import table
 
 
@@ -15,6 +15,12 @@ def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from presswerk.llm.topk import search
+
+    return search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pivots": op1_pivots,
+    "op2_topk": op2_topk,
     "op3_packing": op3_packing,
     "op5_langid": op5_langid,
     "op6_minhash": op6_minhash,
@@ -74,4 +81,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {"op7_chat": chat.ORACLE, "op8_urls": urls.oracle(), "op10_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op7_chat": chat.ORACLE, "op8_urls": urls.oracle(), "op10_warc": warc.ORACLE}
