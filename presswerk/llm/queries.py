@@ -30,6 +30,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text."""
+    import public_tokenizers
+
+    from presswerk.llm.pieces import decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    out = decode(spark, encode(spark, table(spark, sf_dir, "documents"), model), model)
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.octet_length("decoded").cast("long").alias("decoded_bytes"), same.alias("round_trip"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from presswerk.llm.langid import fit, held_out, predict
 
@@ -74,6 +86,7 @@ QUERIES = {
     "op1_pivots": op1_pivots,
     "op2_topk": op2_topk,
     "op3_packing": op3_packing,
+    "op4_pieces": op4_pieces,
     "op5_langid": op5_langid,
     "op6_minhash": op6_minhash,
     "op7_chat": op7_chat,
