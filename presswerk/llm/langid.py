@@ -183,6 +183,22 @@ def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, *, id_co
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def with_language(spark: SparkSession, docs: DataFrame, model: LanguageModel, lang_to: str, score_to: str, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with two further columns, the language and its score, as ``predict`` gives them."""
+    bound_batches(spark)
+    shared, where = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        memo = _worker_memo(shared)
+        for batch in batches:
+            found = [p for texts in in_groups(batch.column(where)) for p in shared.value.predict(texts, memo)]
+            langs, scores = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_to, score_to])
+
+    kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{lang_to}` string", f"`{score_to}` double"]
+    return docs.mapInArrow(run, ", ".join(kinds))
+
+
 @functools.lru_cache(maxsize=1)
 def _memo_of(key: int, model_holder) -> ChunkMemo:
     return model_holder.value.memo()
