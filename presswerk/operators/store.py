@@ -115,12 +115,12 @@ class Store:
 
     def read(self, name: str) -> DataFrame:
         have = self.versions(name)
-        kind = schema.TABLES[name]
+        kind = schema.ddl(schema.TABLES[name])
         return self.spark.read.schema(kind).parquet(f"{self.root}/{name}/v={have[-1]}") if have else self.spark.createDataFrame([], kind)
 
     def write(self, name: str, df: DataFrame) -> None:
         have, kind = self.versions(name), schema.TABLES[name]
-        rows = df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind])
+        rows = df.select(*[(F.col(f"`{f}`") if f in df.columns else F.lit(None)).cast(t).alias(f) for f, t in kind.items()])
         rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v={(have[-1] if have else 0) + 1}")
 
     def vacuum(self, name: str, keep: int = 2) -> None:
@@ -174,10 +174,10 @@ class Store:
     def _job_event(self, job_id: int, **fields) -> None:
         import json
 
-        known = {k: v for k, v in fields.items() if k in schema.JOB_EVENTS.fieldNames()}
+        known = {k: v for k, v in fields.items() if k in schema.JOB_EVENTS}
         extra = {k: v if isinstance(v, str) else json.dumps(v) for k, v in fields.items() if k not in known}
         row = {"job_id": job_id, "seq": time.time_ns(), **known, "fields_json": json.dumps(extra) if extra else None}
-        event = self.spark.createDataFrame([tuple(row.get(f) for f in schema.JOB_EVENTS.fieldNames())], schema.JOB_EVENTS)
+        event = self.spark.createDataFrame([tuple(row.get(f) for f in schema.JOB_EVENTS)], schema.ddl(schema.JOB_EVENTS))
         self.write("jobs", self.read("jobs").unionByName(event))
 
     def get_job(self, job_id: int) -> dict | None:
@@ -198,7 +198,7 @@ class Store:
         """Upserts a summary document; its id gets a number if another document has it."""
         doc = {"created": now, "kind": "summary"} | doc
         doc.setdefault("id", f"summary_{doc['created']}_{uuid.uuid4().hex[:6]}")
-        row = self.spark.createDataFrame([tuple(doc.get(f) for f in schema.SUMMARIES.fieldNames())], schema.SUMMARIES)
+        row = self.spark.createDataFrame([tuple(doc.get(f) for f in schema.SUMMARIES)], schema.ddl(schema.SUMMARIES))
         self.write("summary_docs", upsert(self.read("summary_docs"), row.withColumn("seq", F.lit(0))))
         return doc["id"]
 
@@ -212,7 +212,7 @@ class Store:
         return self.list_summaries().limit(1)
 
     def save_temp_summary(self, job_id: int, summary: str, meta: str, now: int) -> None:
-        row = self.spark.createDataFrame([(job_id, now, summary, meta)], schema.TEMP_SUMMARIES).withColumn("seq", F.lit(0))
+        row = self.spark.createDataFrame([(job_id, now, summary, meta)], schema.ddl(schema.TEMP_SUMMARIES)).withColumn("seq", F.lit(0))
         self.write("temp_summaries", upsert(self.read("temp_summaries"), row, "job_id"))
 
     def get_temp_summary(self, job_id: int) -> DataFrame:

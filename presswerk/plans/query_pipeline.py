@@ -1 +1,65 @@
-"""Queries on the digest."""
+"""Queries on chat stages, HTML, prompts and the digest: not for SQL, but for the row counts and texts that it can tell."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from presswerk.functions import text as fn
+from presswerk.operators import select as sel
+from presswerk.plans import digest, views
+from presswerk.plans.chat import ExtractiveModel
+from presswerk.plans.query_articles import _PLAN, SINCE, topical
+from presswerk.plans.registry import query
+from presswerk.sources import ingest
+from presswerk.streaming.ingest import windowed_counts
+
+
+@query("select page_id, starts_with(html, '<!DOCTYPE') as doctype from pages")
+def html_pages(spark, d):
+    return views.table(spark, d, "pages").select("page_id", F.col("html").startswith("<!DOCTYPE").alias("doctype"))
+
+
+@query()
+def article_text(spark, d):
+    return ingest.extract_text(views.table(spark, d, "pages").select("page_id", "html")).select("page_id", "text")
+
+
+@query()
+def ingest_articles(spark, d):
+    """Pages as fetched entries, to articles with hashes."""
+    pages = views.table(spark, d, "pages").select("page_id", "html").withColumnRenamed("page_id", "pos")
+    e = views.entries(spark, d).join(pages, "pos").where("link is not null")
+    return ingest.articles_of(e, views.NOW).drop("text", "seq")
+
+
+@query(_PLAN + "select topic, batch_id, count(*) as n from p group by all")
+def map_summaries(spark, d):
+    """Batches that the map stage summarised with the offline model, and their sizes."""
+    s = digest.Settings()
+    a = topical(spark, d).where(F.col("eff_ts") >= SINCE)
+    return digest.map_stage(digest.batches_of(a, s), ExtractiveModel(), s).select("topic", "batch_id", F.size("ids").cast("long").alias("n"))
+
+
+@query()
+def topic_digests(spark, d):
+    s = digest.Settings(lookback="14d")
+    a = topical(spark, d).where(F.col("eff_ts") >= SINCE)
+    lines = a.groupBy("topic").agg(F.array_join(F.array_sort(F.collect_list(fn.source_line(F.col("title"), F.col("url")))), "\n").alias("lines"))
+    return digest.reduce_stage(digest.map_stage(digest.batches_of(a, s), ExtractiveModel(), s), lines, ExtractiveModel(), s)
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all")
+def event_windows(spark, d):
+    return windowed_counts(views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query()
+def fetch_candidates(spark, d):
+    feeds = views.feeds(spark, d)
+    e = views.entries(spark, d).withColumn("categories", F.transform("tags", fn.norm_category)).withColumn("published", F.lit(None).cast("string"))
+    return ingest.candidates(e, feeds, now=views.NOW, lookback="10d").select("feed", "pos", "link")
+
+
+@query()
+def newest_articles_of_topics(spark, d):
+    return sel.interleave(topical(spark, d).where(F.col("eff_ts") >= SINCE).drop("text"), "topic").where("ord <= 20").select("topic", "ord", "id")

@@ -287,7 +287,7 @@ def adaptive_budget(spark, d):
 
 
 @query(f"""with recursive t as (select doc_id, 0 as k, text as x, length(text) as n from documents
-  union all select doc_id, k + 1, x[:greatest(500, floor(length(x) * 0.85::double)::int)], length(x[:greatest(500, floor(length(x) * 0.85::double)::int)]) from t where k < 6 and greatest(1, floor((n + 20) / 2.4::double)) > 400)
+  union all select doc_id, k + 1, x[:greatest(500, floor(length(x) * 0.85::double)::int)], length(x[:greatest(500, floor(length(x) * 0.85::double)::int)]) from t where k < 6 and greatest(1, floor((n + 19) / 2.4::double)) > 400)
 select doc_id, sha256('Overview' || chr(10) || 'x' || chr(10) || case when k = 6 then x[:2000] else x end || ' (end)..') as h from (select doc_id, max(k) as k, max_by(x, k) as x from t group by doc_id)""")
 def super_meta_fit(spark, d):
     from presswerk.operators.budget import super_meta
