@@ -163,41 +163,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _rest(spark: SparkSession, bands: DataFrame, reps: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs within a bucket that are not connected yet and whose signatures stay, each from the first band it shares.
+def _rest(spark: SparkSession, bands: DataFrame, reps: DataFrame, texts: DataFrame, parts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links within buckets between classes that are not connected yet, enough of them to connect what is linked.
 
     Only buckets that still hold two components take part.  A bucket's rows are
     cut into blocks of about BLOCK, and a task compares two blocks, so that no
-    task gathers a bucket.
+    task gathers a bucket.  It holds a pair's signatures against each other in
+    the first band that both share, and those that stay by their full sets of
+    64-bit shingle hashes; a link joins two components, whose other pairs need
+    no look, so that a task gives fewer rows than it has read.
     """
     least = least_matches(num, den)
     now = bands.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = now.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
     rows = stage(spark, now.join(mixed, "key").select("key", "band", "rep", "component", "n"), "mixed")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+
+    def sets(batches):
+        memo = _memo()
+        for batch in batches:
+            out = []
+            for group in in_groups(batch.column(1)):
+                out += [shingle_hashes(np.frombuffer(x, np.uint64), size).tobytes() for x in memo.buffers([words_of(t) for t in group])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["rep", "hashes"])
+
+    wanted = rows.select("rep").distinct()
+    own = texts.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").mapInArrow(sets, "rep long, hashes binary")
+    members = stage(spark, own.join(reps.select(F.col("doc_id").alias("rep"), "sig"), "rep"), "members")
     dealt = (
-        rows.join(reps.select(F.col("doc_id").alias("rep"), "sig"), "rep")
-        .withColumn("own", F.expr("cast(pmod(xxhash64(rep), %s) as int)" % "ceil(n / %d)" % BLOCK))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("i", F.least("own", "other"))
-        .withColumn("j", F.greatest("own", "other"))
+        rows.withColumn("own", F.expr(f"cast(pmod(xxhash64(rep), ceil(n / {BLOCK})) as int)"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1)))
+        .select("key", "band", "rep", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .join(members, "rep")
     )
 
     def run(t: pa.Table) -> pa.Table:
-        band, own = t.column("band")[0].as_py(), t.column("own").to_numpy()
+        band, block = t.column("band")[0].as_py(), t.column("own").to_numpy()
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        rep, part = t.column("rep").to_numpy(), t.column("component").to_numpy()
+        rep, part = t.column("rep").to_numpy(), t.column("component").to_numpy().copy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, HASHES)
-        found = []
+        held = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        sizes = np.array([len(h) for h in held])
+        names, codes = np.unique(np.concatenate(held), return_inverse=True)
+        codes, found = np.split(codes, np.cumsum(sizes)[:-1]), []
+        mark = np.zeros(len(names), bool)
         for k in range(len(rep)):
-            if i != j and own[k] != i:
+            if i != j and block[k] != i:
                 continue
-            other = np.flatnonzero((part != part[k]) & ((rep > rep[k]) if i == j else (own == j)))
+            other = np.flatnonzero((part != part[k]) & ((rep > rep[k]) if i == j else (block == j)))
             if band and len(other):
                 before = (sig[other, : band * ROWS] == sig[k, : band * ROWS]).reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
                 other = other[~before]
-            for o in other[stays(np.broadcast_to(sig[k], (len(other), HASHES)), sig[other], least)]:
-                found.append((max(rep[k], rep[o]), min(rep[k], rep[o])))
+            other = other[stays(np.broadcast_to(sig[k], (len(other), HASHES)), sig[other], least)]
+            if not len(other):
+                continue
+            mark[codes[k]] = True
+            for o in other:
+                if part[o] != part[k]:
+                    both = int(np.count_nonzero(mark[codes[o]]))
+                    if den * both >= num * (sizes[k] + sizes[o] - both):
+                        found.append((max(rep[k], rep[o]), min(rep[k], rep[o])))
+                        part[part == part[o]] = part[k]
+            mark[codes[k]] = False
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -236,7 +262,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     tested = stage(spark, _pruned(star, reps, num, den), "pruned")
     links = stage(spark, _verified(tested, texts, size, num, den), "links")
     parts = connected_components(spark, links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    rest = stage(spark, _rest(spark, bands, reps, parts, num, den).join(tested, ["a", "b"], "left_anti"), "rest")
+    rest = stage(spark, _rest(spark, bands, reps, texts, parts, size, num, den).distinct(), "rest")
     more = stage(spark, _verified(rest, texts, size, num, den), "links")
     if not more.isEmpty():
         edges = links.union(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
