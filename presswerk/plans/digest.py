@@ -33,7 +33,7 @@ DEFAULT_PROMPTS = {
 }
 
 SUMMARY = "topic string, batch_id int, ids array<string>, summary string, trims int, drops int"
-SECTION = "topic string, summary string, batch_total int, trims int, drops int, budget int, feedback string, rounds int"
+SECTION = "topic string, summary string, batch_total int, trims int, drops int, budget int, feedback string, rounds int, requested int, applied int, skipped int, blocked int"
 
 
 @dataclass
@@ -47,6 +47,7 @@ class Settings:
     chars_per_token: float = 2.4
     structural_threshold: int = 1200
     proofread_rounds: int = 4
+    topics_at_once: int = 4
     lookback: str = ""
     prompts: dict[str, str] = field(default_factory=lambda: dict(DEFAULT_PROMPTS))
 
@@ -58,7 +59,7 @@ class Settings:
         return Settings(
             max_chars=int(batching.get("max_chars_per_batch") or base.max_chars), max_n=int(batching.get("max_articles_per_batch", base.max_n)), clip=int(batching.get("article_clip_chars") or base.clip),
             context=int(llm.get("context_window_tokens") or base.context), output=int(llm.get("max_output_tokens") or base.output), margin=int(llm.get("prompt_safety_margin") or base.margin),
-            chars_per_token=float(llm.get("chars_per_token") or base.chars_per_token), lookback=str(ingest.get("lookback") or ""), prompts=DEFAULT_PROMPTS | {k: v for k, v in (config.get("prompts") or {}).items() if isinstance(v, str)},
+            chars_per_token=float(llm.get("chars_per_token") or base.chars_per_token), topics_at_once=max(1, min(16, int(batching.get("topic_concurrency") or base.topics_at_once))), lookback=str(ingest.get("lookback") or ""), prompts=DEFAULT_PROMPTS | {k: v for k, v in (config.get("prompts") or {}).items() if isinstance(v, str)},
         )
 
 
@@ -164,11 +165,12 @@ def reduce_stage(summaries: DataFrame, sources: DataFrame, model: ChatModel, s:
                 text = retrying(made, ask, budget, 8, PromptTooLong, s.chars_per_token)
                 desk = "\n\n".join(p[1] for p in parts)
                 edited = proofread(model, s.prompts, text.strip(), desk, lookback=s.lookback, budget=budget, max_rounds=s.proofread_rounds, chars_per_token=s.chars_per_token)
-                out.append((r["topic"], edited.text, len(parts), int(r["trims"]), int(r["drops"]), budget, edited.feedback, len(edited.rounds)))
+                counts = [sum(x[k] for x in edited.rounds) for k in ("requested", "applied", "skipped", "blocked")]
+                out.append((r["topic"], edited.text, len(parts), int(r["trims"]), int(r["drops"]), budget, edited.feedback, len(edited.rounds), *counts))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SECTION.split(", ")])
 
     parts = summaries.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("batch_id", "summary"))).alias("parts"), F.sum("trims").alias("trims"), F.sum("drops").alias("drops"))
-    return parts.join(sources, "topic", "left").mapInPandas(run, SECTION)
+    return parts.join(sources, "topic", "left").repartition(s.topics_at_once, "topic").mapInPandas(run, SECTION)
 
 
 def overview_of(model: ChatModel, sections: list[dict], s: Settings) -> str:
@@ -210,8 +212,15 @@ def title_of(model: ChatModel, s: Settings, summary: str, from_ts: int, to_ts: i
     return default if not line else line if len(line) <= 120 else line[:120].rstrip() + "…"
 
 
-def topics_plan(spark: SparkSession, articles: DataFrame, feeds: DataFrame) -> DataFrame:
-    return sel.with_topic(articles, feeds)
+def ingress_of(model: ChatModel, s: Settings, text: str) -> str:
+    """A few opening lines; empty without prompts or if the model fails."""
+    system, template = s.prompts.get("ingress_system"), s.prompts.get("ingress_user_template")
+    if not system or not template or not text:
+        return ""
+    try:
+        return guarded_chat(model, [{"role": "system", "content": system}, {"role": "user", "content": fill(template, summary=text, lookback=s.lookback)}], structural_over=None)[0].strip()
+    except Exception:  # the document is complete without
+        return ""
 
 
 def assemble(spark: SparkSession, topical: DataFrame, sections: DataFrame, model: ChatModel, s: Settings, *, now: int, job: int | None = None, kind: str = "summary") -> dict:
@@ -223,7 +232,7 @@ def assemble(spark: SparkSession, topical: DataFrame, sections: DataFrame, model
     rows = [r.asDict(recursive=True) for r in sections.join(ranks, "topic").join(spans, "topic").join(snaps, "topic").orderBy("rank").collect()]
     out_sections = []
     for r in rows:
-        out_sections.append({"topic": r["topic"], "from": r["from_ts"], "to": r["to_ts"], "sources": [x["id"] for x in r["sources_snapshots"]], "sources_snapshots": [x | {"topic": r["topic"]} for x in r["sources_snapshots"]], "summary": r["summary"], "meta": {k: str(r[k]) for k in ("batch_total", "trims", "drops", "rounds")}})
+        out_sections.append({"topic": r["topic"], "from": r["from_ts"], "to": r["to_ts"], "sources": [x["id"] for x in r["sources_snapshots"]], "sources_snapshots": [x | {"topic": r["topic"]} for x in r["sources_snapshots"]], "summary": r["summary"], "meta": {k: str(r[k]) for k in ("batch_total", "trims", "drops", "rounds", "requested", "applied", "skipped", "blocked")}})
     overview = overview_of(model, out_sections, s) if len(out_sections) > 1 else ""
     stitched = out_sections[0]["summary"] if len(out_sections) == 1 else "\n\n".join(f"## {x['topic']}\n\n{x['summary']}" for x in out_sections)
     body = (f"{overview}\n\n{stitched}" if overview else stitched).strip()
@@ -337,6 +346,8 @@ def compose(spark: SparkSession, config: dict, store: Store, parts: list[dict],
     edited = proofread(model, s.prompts, one["text"], "", lookback=s.lookback, max_rounds=1)
     verdict = spark.range(1).select(fn.rewrite_verdict(F.lit(one["text"]), F.lit(edited.text))).first()[0]
     body = edited.text if verdict.startswith("accepted") else one["text"]
+    opening = ingress_of(model, s, body)
+    body = f"{opening}\n\n{body}" if opening and body else opening or body
     doc = {
         "id": f"sum_{_day(now, '%Y%m%d_%H%M')}_composed", "title": title_of(model, s, body, one["lo"], one["hi"]), "created": now, "kind": "composed", "from": one["lo"], "to": one["hi"], "summary": body,
         "sources": one["sources"], "sources_snapshots": [x.asDict() for x in one["snapshots"] or []], "selection": {"name": name, "lookback": s.lookback}, "meta": {"composed": "true", "rewrite": verdict},

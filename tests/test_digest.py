@@ -173,6 +173,7 @@ def test_digest_end_to_end(spark, tmp_path, corpus):
     assert s.get_job(job)["summary_id"] == first and s.read("articles").where("summarized").count() == 7
     again = digest.replay(spark, {"ingest": {"lookback": "6h"}}, s, first, now=NOW + 60)
     assert set(again["sources"]) == set(doc["sources"])
+    assert doc["sections"][0]["meta"]["blocked"] == "0"
     composed = digest.compose(spark, {}, s, [{"summary_id": first, "tag": "One"}, {"summary_id": "none"}], now=NOW)
     body = s.get_summary(composed).first()["summary"]
     assert body.startswith("## One") and "## Källor" not in body
