@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, *, id_col:
     drawn = v.select(F.xxhash64("vec_id", F.lit(17)).alias("h"), "vec_id", "dim", "v").orderBy("h", "vec_id", "v").limit(PILOTS).toArrow()
     pilots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in set(drawn.column("dim").to_pylist()):
-        rows = drawn.filter(pa.compute.equal(drawn.column("dim"), dim))
+        rows = drawn.filter(pc.equal(drawn.column("dim"), dim))
         ids, first = np.unique(rows.column("vec_id").to_numpy(), return_index=True)
         pilots[dim] = (ids, _matrix(rows.column("v"))[first])
     shared = spark.sparkContext.broadcast(pilots)

@@ -105,16 +105,12 @@ class Salvage:
     gaps: list[Gap] = field(default_factory=list)
 
     def read(self, data: bytes) -> Iterator[Record]:
-        if data[:2] != b"\x1f\x8b" and not data.startswith(b"WARC/") and b"WARC/1." not in data and b"\x1f\x8b\x08" not in data:
-            if data:
-                self.gaps.append(Gap(0, len(data), "no record"))
-            return
-        at, plain_from = 0, None
+        at = 0
         while at < len(data):
             if data.startswith(b"\x1f\x8b\x08", at):
                 used, content, why = _inflate(data, at)
                 if content and (not why or b"WARC/1." in content):
-                    yield from self._records(content, at if not why else at, inflated=True)
+                    yield from self._records(content, at, inflated=True)
                 if why:
                     end = self._next(data, at + 1 if not used else max(used, at + 1))
                     self.gaps.append(Gap(at, end, why))
@@ -122,10 +118,9 @@ class Salvage:
                 else:
                     at = used
             elif data.startswith(b"WARC/1.", at):
-                plain_from = at
                 member = data.find(b"\r\n\r\n\x1f\x8b\x08", at)
                 stop = member + 4 if member >= 0 else len(data)
-                yield from self._records(data[plain_from:stop], plain_from, inflated=False)
+                yield from self._records(data[at:stop], at, inflated=False)
                 at = stop
             else:
                 end = self._next(data, at + 1)
