@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space as Python strips it.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same as characters, for trimming without a regular expression.
+WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 CUT_MARK = "\n\n[TRUNCATED FOR CONTEXT WINDOW]\n"
 SHORT_MARK = "\n[TRUNCATED]\n"
 NO_TOPIC = "Okategoriserat"
@@ -23,11 +25,11 @@ def text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(text(c), rf"^{WS}+|{WS}+$", "")
+    return F.btrim(text(c), F.lit(WS_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(text(c), rf"{WS}+$", "")
+    return F.rtrim(text(c), F.lit(WS_CHARS))
 
 
 def collapse(c: Column) -> Column:

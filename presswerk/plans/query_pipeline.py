@@ -10,6 +10,7 @@ from presswerk.plans import digest, views
 from presswerk.plans.chat import ExtractiveModel
 from presswerk.plans.query_articles import _PLAN, SINCE, topical
 from presswerk.plans.registry import query
+from presswerk.plans.views import with_views
 from presswerk.sources import ingest
 from presswerk.streaming.ingest import windowed_counts
 
@@ -53,13 +54,13 @@ def event_windows(spark, d):
     return windowed_counts(views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query(with_views("entries") + f"select feed, pos, link from (select *, row_number() over (partition by feed order by published_ts desc, pos) as rn from entries where published_ts >= {views.NOW - 10 * views.DAY}) where rn <= 8 and link is not null")
 def fetch_candidates(spark, d):
     feeds = views.feeds(spark, d)
     e = views.entries(spark, d).withColumn("categories", F.transform("tags", fn.norm_category)).withColumn("published", F.lit(None).cast("string"))
     return ingest.candidates(e, feeds, now=views.NOW, lookback="10d").select("feed", "pos", "link")
 
 
-@query()
-def newest_articles_of_topics(spark, d):
+@query(_PLAN + "select topic, ord, id from o where ord <= 20")
+def first_articles_of_topics(spark, d):
     return sel.interleave(topical(spark, d).where(F.col("eff_ts") >= SINCE).drop("text"), "topic").where("ord <= 20").select("topic", "ord", "id")
