@@ -19,6 +19,8 @@ APART = 0.8
 SHARED = 3
 #: Rows that one task groups or compares at a time.
 BLOCK = 2048
+#: Radians by which a bound must be clear of the threshold.
+SLACK = 1e-7
 
 
 def _unit(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -91,13 +93,27 @@ def _pair_links(batch: pa.RecordBatch, dim: int, cos: float):
         out = []
 
 
+def _whole_label(t: pa.Table, dim: int, most: float) -> pa.Table:
+    """Pairs of clumps, each of one block of a label with each of the other (or of the same), that bounds do not rule out."""
+    x, r = _unit(t.column("v"), dim), t.column("radius").to_numpy()
+    clump, n, block = (t.column(c).to_numpy() for c in ("clump", "n", "block"))
+    lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+    a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    angle, reach = np.arccos(np.clip(x[a] @ x[b].T, -1, 1)), r[a][:, None] + r[b]
+    i, j = np.nonzero((angle - reach <= most + SLACK) & ((lo < hi) | (clump[a][:, None] < clump[b])))
+    whole = (angle + reach)[i, j] <= most - SLACK
+    i, j = a[i], b[j]
+    return pa.table({"a": clump[i], "b": clump[j], "a_n": n[i], "b_n": n[j], "bound": pa.array(np.where(whole, "all", "rows").tolist(), pa.string())})
+
+
 def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cos: float = 0.93) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest linked vec_id, itself included), kept.
 
     Vectors of one label link at a cosine of ``cos`` or more, computed in double
     precision.  Each is described by its nearest pivots (a sample drawn by a hash,
     of bounded size); an inverted list holds the vectors that share two pivots of
-    their descriptions, and those that share SHARED in all are verified.
+    their descriptions, and those that share SHARED in all are verified.  Where
+    fewer than LEAST_PIVOTS are apart, all vectors of a label meet, in blocks.
 
     Large groups of copies are kept linear: the rows of a list block are first
     clumped around mean directions, so tightly that all rows of a clump are
@@ -150,26 +166,33 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "v
     singles = members.where("n is null").select("clump", "label", F.lit(1).cast("long").alias("n"), unit(F.col("v")).alias("v"), F.lit(0.0).alias("radius"))
     groups = members.where("n is not null").groupBy("clump").applyInArrow(centers, "clump long, label string, n long, v array<double>, radius double")
     heads = stage(spark, singles.union(groups), "heads")
-    near = describe(heads.select(F.col("clump").alias("vec_id"), "label", "v"), pivots).select(F.col("vec_id").alias("clump"), "label", F.array_sort("near").alias("near"))
-
-    # Inverted lists of two pivots.  A pair of clumps is taken from the first list that holds both.
-    p = len(pivots)
-    spots = near.select("*", F.explode(F.sequence(F.lit(0), F.size("near") - 2)).alias("i")).select("*", F.explode(F.sequence(F.col("i") + 1, F.size("near") - 1)).alias("j"))
-    posted = spots.select("clump", "label", "near", (F.get("near", F.col("i")).cast("long") * p + F.get("near", F.col("j"))).alias("key"))
-    posted = stage(spark, posted, "posted")
-    a, b = posted.alias("a"), posted.alias("b")
-    shared = F.array_intersect("a.near", "b.near")
-    enough = (F.size(shared) >= SHARED) & (F.get(shared, F.lit(0)).cast("long") * p + F.get(shared, F.lit(1)) == F.col("a.key"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.clump") < F.col("b.clump")) & enough).select(F.col("a.clump").alias("a"), F.col("b.clump").alias("b"))
-
-    # Bounds by centers and radii.
-    head = lambda s: heads.select(F.col("clump").alias(s), F.col("v").alias(f"{s}_c"), F.col("radius").alias(f"{s}_r"), F.col("n").alias(f"{s}_n"))
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(F.zip_with("a_c", "b_c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))))
-    most, slack = math.acos(cos), 1e-7
-    judged = pairs.join(head("a"), "a").join(head("b"), "b").withColumn("angle", angle).select(
-        "a", "b", "a_n", "b_n",
-        F.when(F.col("angle") + F.col("a_r") + F.col("b_r") <= most - slack, "all").when(F.col("angle") - F.col("a_r") - F.col("b_r") > most + slack, "none").otherwise("rows").alias("bound"),
-    )
+    most = math.acos(cos)
+    if len(pivots) < LEAST_PIVOTS:
+        # Too few pivots tell nothing apart (copies, narrow cones, small tables): all clumps of a label meet, as pairs of blocks.
+        counts = heads.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        meet = heads.join(counts, "label").withColumn("block", F.expr("pmod(xxhash64(clump), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        meet = meet.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+        judged = meet.groupBy("label", "lo", "hi").applyInArrow(lambda t: _whole_label(t, dim, most), "a long, b long, a_n long, b_n long, bound string")
+    else:
+        near = describe(heads.select(F.col("clump").alias("vec_id"), "label", "v"), pivots).select(F.col("vec_id").alias("clump"), "label", F.array_sort("near").alias("near"))
+
+        # Inverted lists of two pivots.  A pair of clumps is taken from the first list that holds both.
+        p = len(pivots)
+        spots = near.select("*", F.explode(F.sequence(F.lit(0), F.size("near") - 2)).alias("i")).select("*", F.explode(F.sequence(F.col("i") + 1, F.size("near") - 1)).alias("j"))
+        posted = spots.select("clump", "label", "near", (F.get("near", F.col("i")).cast("long") * p + F.get("near", F.col("j"))).alias("key"))
+        posted = stage(spark, posted, "posted")
+        a, b = posted.alias("a"), posted.alias("b")
+        shared = F.array_intersect("a.near", "b.near")
+        enough = (F.size(shared) >= SHARED) & (F.get(shared, F.lit(0)).cast("long") * p + F.get(shared, F.lit(1)) == F.col("a.key"))
+        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.clump") < F.col("b.clump")) & enough).select(F.col("a.clump").alias("a"), F.col("b.clump").alias("b"))
+
+        # Bounds by centers and radii.
+        head = lambda s: heads.select(F.col("clump").alias(s), F.col("v").alias(f"{s}_c"), F.col("radius").alias(f"{s}_r"), F.col("n").alias(f"{s}_n"))
+        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(F.zip_with("a_c", "b_c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))))
+        judged = pairs.join(head("a"), "a").join(head("b"), "b").withColumn("angle", angle).select(
+            "a", "b", "a_n", "b_n",
+            F.when(F.col("angle") + F.col("a_r") + F.col("b_r") <= most - SLACK, "all").when(F.col("angle") - F.col("a_r") - F.col("b_r") > most + SLACK, "none").otherwise("rows").alias("bound"),
+        )
     judged = stage(spark, judged.where("bound <> 'none'"), "judged")
     whole = judged.where("bound = 'all'")
     open_ = judged.where("bound = 'rows'").select("a", "b")

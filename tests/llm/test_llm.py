@@ -80,6 +80,43 @@ def test_pivots_against_brute_force(spark):
     assert pivots.near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def linked(spark, rows):
+    """Rows of the operator by vec_id, after a comparison of degrees and components with brute force."""
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = {r["vec_id"]: r for r in pivots.near_duplicates(spark, df).collect()}
+    links = []
+    for dim, label in {(len(r[2]), r[1]) for r in rows}:
+        ids = np.array([r[0] for r in rows if len(r[2]) == dim and r[1] == label])
+        x = np.array([r[2] for r in rows if len(r[2]) == dim and r[1] == label])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        i, j = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+        links += zip(ids[i].tolist(), ids[j].tolist())
+    degree = dict.fromkeys(got, 0)
+    for a, b in links:
+        degree[a] += 1
+        degree[b] += 1
+    assert len(got) == len(rows)
+    assert {k: r["n_links"] for k, r in got.items()} == degree
+    assert {k: r["component_id"] for k, r in got.items()} == groups(list(got), links)
+    return got
+
+
+def test_pivots_copies_above_a_block(spark):
+    got = linked(spark, [(k, "a", [1.0, 2.0, -1.0, 0.5]) for k in range(5000)])
+    assert all(r["n_links"] == 4999 and r["component_id"] == 0 for r in got.values())
+
+
+def test_pivots_narrow_cone(spark, monkeypatch):
+    u = lambda deg: [float(np.cos(np.radians(deg))), float(np.sin(np.radians(deg)))]
+    got = linked(spark, [(1, "a", u(0)), (2, "a", u(19)), (3, "a", u(31))])  # cosines 0.946, 0.978 and 0.857, one pivot
+    assert [got[k]["n_links"] for k in (1, 2, 3)] == [1, 2, 1]
+    monkeypatch.setattr(pivots, "BLOCK", 100)
+    rng = np.random.default_rng(5)
+    cone = np.eye(32)[0] * 4 + rng.normal(size=(700, 32)) * 0.35
+    cone[500:] = cone[:200] + rng.normal(size=(200, 32)) * 0.05
+    linked(spark, [(k, "ab"[k % 5 == 0], v.tolist()) for k, v in enumerate(cone)])
+
+
 def test_clumps_are_fully_linked():
     import pyarrow as pa
 
