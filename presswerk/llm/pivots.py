@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -111,16 +113,16 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "v
 
     Vectors of one label link at a cosine of ``cos`` or more, computed in double
     precision.  Each is described by its nearest pivots (a sample drawn by a hash,
-    of bounded size); an inverted list holds the vectors that share two pivots of
-    their descriptions, and those that share SHARED in all are verified.  Where
-    fewer than LEAST_PIVOTS are apart, all vectors of a label meet, in blocks.
+    of bounded size); an inverted list holds the vectors that share SHARED pivots
+    of their descriptions, and they are verified.  Where fewer than LEAST_PIVOTS
+    are apart, all vectors of a label meet, in blocks.
 
     Large groups of copies are kept linear: the rows of a list block are first
     clumped around mean directions, so tightly that all rows of a clump are
-    linked, and only clump centers are indexed.  Two clumps are linked as a whole
-    or not at all where their centers and radii prove it; else their rows are
-    compared, as two matrices in one task.  So the counts of links are exact for
-    all retrieved clumps, without a row for each pair.
+    linked, and a clump is indexed once for each description that its rows have.
+    Two clumps are linked as a whole or not at all where their centers and radii
+    prove it; else their rows are compared, as two matrices in one task.  So the
+    counts of links are exact for all retrieved clumps, without a row for each pair.
 
     Vectors without id, label, or with null, non-finite or only zero components
     link with nothing; so do those of a dimension of which there are fewer.  Rows
@@ -150,7 +152,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "v
     clumped = dealt.groupBy("label", "first", "block").applyInArrow(lambda t: _clumps(t, dim, cos), "vec_id long, label string, v array<double>, near array<int>, clump long")
     clumped = stage(spark, clumped, "clumped")
 
-    # A clump's center, radius and description.
+    # A clump's center and radius.
     many = clumped.groupBy("clump").agg(F.count("*").alias("n"))
     unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)))
     big = many.where("n > 1").select("clump", "n")
@@ -174,17 +176,13 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "v
         meet = meet.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
         judged = meet.groupBy("label", "lo", "hi").applyInArrow(lambda t: _whole_label(t, dim, most), "a long, b long, a_n long, b_n long, bound string")
     else:
-        near = describe(heads.select(F.col("clump").alias("vec_id"), "label", "v"), pivots).select(F.col("vec_id").alias("clump"), "label", F.array_sort("near").alias("near"))
-
-        # Inverted lists of two pivots.  A pair of clumps is taken from the first list that holds both.
+        # Inverted lists of SHARED pivots, in which a clump is posted for each of its rows' descriptions: clumps meet if two of their rows share SHARED.
         p = len(pivots)
-        spots = near.select("*", F.explode(F.sequence(F.lit(0), F.size("near") - 2)).alias("i")).select("*", F.explode(F.sequence(F.col("i") + 1, F.size("near") - 1)).alias("j"))
-        posted = spots.select("clump", "label", "near", (F.get("near", F.col("i")).cast("long") * p + F.get("near", F.col("j"))).alias("key"))
-        posted = stage(spark, posted, "posted")
+        near = clumped.select("clump", "label", F.array_sort("near").alias("near")).distinct()
+        keys = [reduce(lambda key, i: key * p + F.get("near", F.lit(i)).cast("long"), spots, F.lit(0).cast("long")) for spots in combinations(range(NEAR), SHARED)]
+        posted = stage(spark, near.select("clump", "label", F.explode(F.array(*keys)).alias("key")).distinct(), "posted")
         a, b = posted.alias("a"), posted.alias("b")
-        shared = F.array_intersect("a.near", "b.near")
-        enough = (F.size(shared) >= SHARED) & (F.get(shared, F.lit(0)).cast("long") * p + F.get(shared, F.lit(1)) == F.col("a.key"))
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.clump") < F.col("b.clump")) & enough).select(F.col("a.clump").alias("a"), F.col("b.clump").alias("b"))
+        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.clump") < F.col("b.clump"))).select(F.col("a.clump").alias("a"), F.col("b.clump").alias("b")).distinct()
 
         # Bounds by centers and radii.
         head = lambda s: heads.select(F.col("clump").alias(s), F.col("v").alias(f"{s}_c"), F.col("radius").alias(f"{s}_r"), F.col("n").alias(f"{s}_n"))

@@ -117,6 +117,28 @@ def test_pivots_narrow_cone(spark, monkeypatch):
     linked(spark, [(k, "ab"[k % 5 == 0], v.tolist()) for k, v in enumerate(cone)])
 
 
+def test_pivots_clump_members_are_indexed(spark, monkeypatch):
+    """Clumps whose members link to rows far from the center, among as many pivots as there can be."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    far = unit(rng.normal(size=(4096, 64)))
+    monkeypatch.setattr(pivots, "spread", lambda rows: far)
+
+    def at(v, cos):
+        w = rng.normal(size=64)
+        return cos * v + (1 - cos * cos) ** 0.5 * unit(w - (w @ v) * v)
+
+    rows, links = [], 0
+    for _ in range(150):
+        core = unit(rng.normal(size=64))
+        group = [core] + [at(core, 0.985) for _ in range(6)]
+        group += [at(group[rng.integers(1, 7)], 0.932) for _ in range(5)]
+        links += int((np.array(group) @ np.array(group).T >= 0.93).sum()) - 12
+        rows += [(len(rows) + k, "a", v.tolist()) for k, v in enumerate(group)]
+    got = pivots.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).agg(F.sum("n_links")).first()[0]
+    assert 0.985 * links <= got <= links
+
+
 def test_clumps_are_fully_linked():
     import pyarrow as pa
 
