@@ -108,37 +108,8 @@ def _whole_label(t: pa.Table, dim: int, most: float) -> pa.Table:
     return pa.table({"a": clump[i], "b": clump[j], "a_n": n[i], "b_n": n[j], "bound": pa.array(np.where(whole, "all", "rows").tolist(), pa.string())})
 
 
-def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cos: float = 0.93) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id (smallest linked vec_id, itself included), kept.
-
-    Vectors of one label link at a cosine of ``cos`` or more, computed in double
-    precision.  Each is described by its nearest pivots (a sample drawn by a hash,
-    of bounded size); an inverted list holds the vectors that share SHARED pivots
-    of their descriptions, and they are verified.  Where fewer than LEAST_PIVOTS
-    are apart, all vectors of a label meet, in blocks.
-
-    Large groups of copies are kept linear: the rows of a list block are first
-    clumped around mean directions, so tightly that all rows of a clump are
-    linked, and a clump is indexed once for each description that its rows have.
-    Two clumps are linked as a whole or not at all where their centers and radii
-    prove it; else their rows are compared, as two matrices in one task.  So the
-    counts of links are exact for all retrieved clumps, without a row for each pair.
-
-    Vectors without id, label, or with null, non-finite or only zero components
-    link with nothing; so do those of a dimension of which there are fewer.  Rows
-    that repeat a vec_id count as one vector, the smallest by (label, vector).
-    Empty tables give no rows; other columns are not read.
-    """
-    bound_batches(spark)
-    v = usable(vectors, id_col, vec_col, label_col)
-    v = stage(spark, v.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("x")).select("vec_id", "x.label", "x.v"), "vectors")
-    ids = vectors.select(vectors[id_col].cast("long").alias("vec_id")).distinct()
-    dims = v.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not dims:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    dim, count = dims[0]["dim"], dims[0]["count"]
-    v = v.where(F.size("v") == dim)
-
+def _linked(spark: SparkSession, v: DataFrame, dim: int, count: int, cos: float) -> DataFrame:
+    """(vec_id, n_links, component_id) of the vectors, which are ``count`` of dimension ``dim``."""
     wanted = max(LEAST_PIVOTS, min(MOST_PIVOTS, 4 * math.isqrt(count)))
     drawn = v.select(F.xxhash64("vec_id", F.lit(3)).alias("h"), "vec_id", "v").orderBy("h", "vec_id").limit(wanted).toArrow()
     pivots = spread(_unit(drawn.column("v"), dim))
@@ -217,7 +188,39 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "v
     by_row = found.where("vec_id is not null").groupBy("vec_id").agg(F.sum("links").alias("more"))
     own = clumped.select("vec_id", "clump").join(big.select("clump", "n"), "clump", "left").join(by_clump, "clump", "left").join(parts, "clump", "left").join(by_row, "vec_id", "left")
     zero = F.lit(0).cast("long")
-    own = own.select("vec_id", (F.coalesce("n", F.lit(1).cast("long")) - 1 + F.coalesce("across", zero) + F.coalesce("more", zero)).alias("n_links"), F.coalesce("component", "clump").alias("component_id"))
+    return own.select("vec_id", (F.coalesce("n", F.lit(1).cast("long")) - 1 + F.coalesce("across", zero) + F.coalesce("more", zero)).alias("n_links"), F.coalesce("component", "clump").alias("component_id"))
+
+
+def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cos: float = 0.93) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id (smallest linked vec_id, itself included), kept.
+
+    Vectors of one label link at a cosine of ``cos`` or more, computed in double
+    precision.  Each is described by its nearest pivots (a sample drawn by a hash,
+    of bounded size); an inverted list holds the vectors that share SHARED pivots
+    of their descriptions, and they are verified.  Where fewer than LEAST_PIVOTS
+    are apart, all vectors of a label meet, in blocks.
+
+    Large groups of copies are kept linear: the rows of a list block are first
+    clumped around mean directions, so tightly that all rows of a clump are
+    linked, and a clump is indexed once for each description that its rows have.
+    Two clumps are linked as a whole or not at all where their centers and radii
+    prove it; else their rows are compared, as two matrices in one task.  So the
+    counts of links are exact for all retrieved clumps, without a row for each pair.
+
+    Vectors without id, label, or with null, non-finite or only zero components
+    link with nothing.  Each dimension has an index of its own.  Rows that repeat
+    a vec_id count as one vector, the smallest by (label, vector).
+    Empty tables give no rows; other columns are not read.
+    """
+    bound_batches(spark)
+    v = usable(vectors, id_col, vec_col, label_col)
+    v = stage(spark, v.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("x")).select("vec_id", "x.label", "x.v"), "vectors")
+    ids = vectors.select(vectors[id_col].cast("long").alias("vec_id")).distinct()
+    dims = v.groupBy(F.size("v").alias("dim")).count().where("count > 1").orderBy("dim").collect()
+    own = spark.createDataFrame([], "vec_id long, n_links long, component_id long")
+    for dim, count in dims:
+        own = own.union(_linked(spark, v.where(F.size("v") == dim), dim, count, cos))
+    zero = F.lit(0).cast("long")
     out = ids.join(own, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", zero).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -117,6 +117,11 @@ def test_pivots_narrow_cone(spark, monkeypatch):
     linked(spark, [(k, "ab"[k % 5 == 0], v.tolist()) for k, v in enumerate(cone)])
 
 
+def test_pivots_of_two_lengths(spark):
+    got = linked(spark, [(k, "a", [1.0, 2.0, -1.0, 0.5] if k < 60 else [1.0, 2.0 + k % 2]) for k in range(100)] + [(100, "a", [1.0, 2.0, 3.0])])
+    assert got[99]["n_links"] == 39 and got[99]["component_id"] == 60
+
+
 def test_pivots_clump_members_are_indexed(spark, monkeypatch):
     """Clumps whose members link to rows far from the center, among as many pivots as there can be."""
     rng = np.random.default_rng(11)
