@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -80,29 +81,51 @@ class ChunkMemo(dict):
     """Maps white-space-free chunks to the bytes that ``make`` gives for a list of new ones.
 
     A text becomes one buffer, the joined bytes of its chunks, at the cost of a
-    dictionary look-up each.  At most ``limit`` chunks are remembered, and only
-    those of 64 characters or less.
+    dictionary look-up each.  What is remembered takes about ``limit`` bytes at
+    most, and only chunks of 64 characters or less are.
     """
 
-    def __init__(self, make: Callable[[list], list[bytes]], limit: int = 400_000):
+    #: Bytes that an entry takes besides its characters.
+    ENTRY = 200
+
+    def __init__(self, make: Callable[[list], list[bytes]], limit: int = 24 << 20):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.held = make, limit, 0
 
     def buffers(self, texts: list[list]) -> list[bytes]:
         """One buffer for each list of chunks."""
         seen = set().union(*texts)
         new = list(seen.difference(self))
-        if len(self) + len(new) > self.limit:
+        if self.held + len(new) * self.ENTRY > self.limit:
             self.clear()
-            new = list(seen)
-        self.update(zip(new, self.make(new)))
+            self.held, new = 0, list(seen)
+        made = self.make(new)
+        self.update(zip(new, made))
         out = [b"".join(map(self.__getitem__, chunks)) for chunks in texts]
-        for chunk in new:
+        for chunk, value in zip(new, made):
             if len(chunk) > 64:
                 del self[chunk]
+            else:
+                self.held += self.ENTRY + len(chunk) + len(value)
         return out
 
 
+_worker_state: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What ``make`` gives, kept by this Python worker until it is asked for another key.
+
+    Workers outlive a stage, so one that has read a model for one operator must
+    let go of it before it reads another's.
+    """
+    if key not in _worker_state:
+        _worker_state.clear()
+        gc.collect()
+        _worker_state[key] = make()
+    return _worker_state[key]
+
+
 def in_groups(values, chars: int = 1 << 20):
     """Lists of texts (null as empty) of about ``chars`` characters, so that memory follows neither batch nor table."""
     group, size = [], 0

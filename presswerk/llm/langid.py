@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswerk.llm.common import ChunkMemo, bound_batches, in_groups
+from presswerk.llm.common import ChunkMemo, bound_batches, in_groups, worker_state
 
 #: Bounds of the model: labelled rows it is fitted on (expected number), words, and n-grams of each length.
 SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS = 20_000, 60_000, 20_000
@@ -88,7 +87,7 @@ class LanguageModel:
         return [raw[k : k + step] for k in range(0, len(raw), step)]
 
     def memo(self) -> ChunkMemo:
-        return ChunkMemo(self.chunk_vectors, min(400_000, (1 << 24) // (len(self.langs) + 1)))
+        return ChunkMemo(self.chunk_vectors)
 
     def predict(self, texts: list[str], memo: ChunkMemo | None = None) -> list[tuple[str, float]]:
         memo, width, out = self.memo() if memo is None else memo, len(self.langs) + 1, []
@@ -199,10 +198,5 @@ def with_language(spark: SparkSession, docs: DataFrame, model: LanguageModel, la
     return docs.mapInArrow(run, ", ".join(kinds))
 
 
-@functools.lru_cache(maxsize=1)
-def _memo_of(key: int, model_holder) -> ChunkMemo:
-    return model_holder.value.memo()
-
-
 def _worker_memo(shared) -> ChunkMemo:
-    return _memo_of(id(shared.value), shared)
+    return worker_state(("language", id(shared.value)), lambda: shared.value.memo())

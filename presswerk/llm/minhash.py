@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswerk.llm.common import ChunkMemo, bound_batches, connected_components, in_groups, stage
+from presswerk.llm.common import ChunkMemo, bound_batches, connected_components, in_groups, stage, worker_state
 
 #: Bands of ROWS signature values each.  A pair at similarity 0.85 shares no band with probability 4e-7, at 0.8 with 5e-5.
 BANDS, ROWS = 25, 5
@@ -29,11 +29,10 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-@functools.lru_cache(maxsize=1)
 def _memo() -> ChunkMemo:
     import xxhash
 
-    return ChunkMemo(lambda words: [xxhash.xxh3_64_digest(w) for w in words])
+    return worker_state("word hashes", lambda: ChunkMemo(lambda words: [xxhash.xxh3_64_digest(w) for w in words]))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

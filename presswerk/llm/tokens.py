@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import struct
@@ -10,7 +9,7 @@ import unicodedata
 
 import numpy as np
 
-from presswerk.llm.common import ChunkMemo
+from presswerk.llm.common import ChunkMemo, worker_state
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -83,7 +82,6 @@ class WordTokenizer:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     """One tokenizer and memo for each Python worker."""
-    return WordTokenizer(path)
+    return worker_state(("words", path), lambda: WordTokenizer(path))

@@ -304,15 +304,35 @@ def test_pieces_have_the_best_score(tmp_path):
     assert same >= 0.9 * len(texts)
 
 
-def test_stream_equals_whole_and_forgets():
+def plain_viterbi(model, text):
+    """Ids of the best segmentation of a whole text, position by position; of equal ones that whose last piece starts earlier."""
+    best, back = [0.0], [0]
+    for end in range(1, len(text) + 1):
+        paths = []
+        for start in range(max(0, end - model.longest), end):
+            score = model.scores[text[start:end]][0] if text[start:end] in model.scores else model.unknown_score if start == end - 1 else None
+            if score is not None:
+                paths.append((best[start] + score, -start))
+        best.append(max(paths)[0])
+        back.append(-max(paths)[1])
+    ids, at = [], len(text)
+    while at:
+        piece = text[back[at] : at]
+        ids = ([model.scores[piece][1]] if piece in model.scores else model.byte_ids[list(piece.encode("utf-8", "replace"))].tolist()) + ids
+        at = back[at]
+    return ids
+
+
+@pytest.mark.parametrize("cuts", [True, False])
+def test_streams_equal_plain_search_and_forget(cuts):
     coder, rng = pieces.PieceCoder(PIECES), random.Random(9)
-    text = "▁" + "".join(rng.choice("abcdethin▁srolé") for _ in range(5000))
-    whole = list(pieces.StreamingViterbi(coder.model).feed(text, True))
-    v, got, longest = pieces.StreamingViterbi(coder.model), [], 0
-    for at in range(0, len(text), 11):
-        got += v.feed(text[at : at + 11], at + 11 >= len(text))
-        longest = max(longest, len(v.text))
-    assert got == whole and longest < 400
+    coder.model.cuts = cuts
+    letters = "abcdethin srolé日語\ud800"
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (0, 1, 15, 16, 17, 63, 64, 65, 127, 128, 200, 3000, 5000)] + ["x" * 700, " " * 300, "no spaces" * 400, "a" + " b" * 2000]
+    for text, got in zip(texts, coder.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == (plain_viterbi(coder.model, "▁" + text.replace(" ", "▁")) if text else [])
+    coder.encode(["".join(rng.choice(letters) for _ in range(30000)) for _ in range(3)])
+    assert coder.kept < 400
 
 
 def test_pieces_round_trip(spark):
