@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,18 +11,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswerk.llm.common import bound_batches, in_groups
-from presswerk.llm.tagger import KINDS, Tagger, encode
+from presswerk.llm.tagger import KINDS, LABELS, NEVER, Tagger, encode
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SIGN = re.compile("[0-9@]")
+#: The same where a run of characters begins, so that a long run is read once.
+_EMAIL_START = re.compile(r"(?<![A-Za-z0-9._%+-])" + EMAIL.pattern)
+_IP_START = re.compile(r"(?<![0-9])" + IP.pattern)
+#: What a span has: a digit, an @, or one that is spelled out.
+_SIGN = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]|\bat [\w-]+ dot\b", re.I)
 
 #: Windows of the tagger, and how far apart they start.
 WINDOW, STRIDE = 96, 48
+#: Characters of a region that is decoded in one.
+REGION = 2048
 #: Windows of the corpus that the tagger is trained on, at most, besides the made ones.
-CORPUS_WINDOWS, MADE_WINDOWS = 600, 1400
+CORPUS_WINDOWS, MADE_WINDOWS = 600, 2400
+#: Log odds against no span from which on a span counts that no rule would know.
+LEAST_ODDS = 2.0
 
 Span = tuple[str, int, int]
 
@@ -35,32 +44,60 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _octet(s: str) -> bool:
+    """Whether digits are a number up to 255, however many zeros lead."""
+    s = s.lstrip("0")
+    return len(s) <= 3 and int(s or "0") <= 255
+
+
 def valid(kind: str, s: str) -> bool:
     """Whether ``s`` is a well-formed value of the kind."""
     if kind == "email":
         return EMAIL.fullmatch(s) is not None
     if kind == "ip":
-        return IP.fullmatch(s) is not None and all(int(p) <= 255 for p in s.split("."))
+        return IP.fullmatch(s) is not None and all(map(_octet, s.split(".")))
     if kind == "card":
         return CARD.fullmatch(s) is not None and 16 <= len(_digits(s)) <= 19 and luhn(_digits(s))
     return PHONE.fullmatch(s) is not None and 8 <= len(_digits(s)) <= 15
 
 
+_AT = re.compile(r"\s*[(\[{]\s*at\s*[)\]}]\s*|\s+at\s+|\s+@\s*|\s*@\s+", re.I)
+_DOT = re.compile(r"\s*[(\[{]\s*(?:dot|\.)\s*[)\]}]\s*|\s+dot\s+|\s+\.\s+", re.I)
+_DATE = re.compile(r"\d{4}([-./ ])\d{1,2}\1\d{1,2}|\d{1,2}([-./ ])\d{1,2}\2\d{2,4}")
+_GROUPS = re.compile(r"\(?\d{1,5}\)?(?:[ ./-]{1,3}\(?\d{1,5}\)?){1,6}")
+
+
+def plausible(kind: str, s: str) -> bool:
+    """Whether ``s`` is a value of the kind in a form that the rules do not know: spelled out, or with other separators."""
+    if kind == "email":
+        return valid("email", _DOT.sub(".", _AT.sub("@", s)))
+    if kind == "ip":
+        return valid("ip", _DOT.sub(".", s))
+    if kind == "card":
+        own = _digits(s)
+        return re.fullmatch(r"\d(?:[ ._/-]{0,2}\d)+", s) is not None and 15 <= len(own) <= 19 and luhn(own)
+    return _GROUPS.fullmatch(s.removeprefix("+")) is not None and 8 <= len(_digits(s)) <= 15 and not _DATE.fullmatch(s) and not IP.fullmatch(s)
+
+
+def _emails(text: str) -> Iterator[re.Match]:
+    """Leftmost matches that do not overlap: at the begin of a run of characters, or where the last match cut one."""
+    at = 0
+    while m := (at and EMAIL.match(text, at)) or _EMAIL_START.search(text, at):
+        yield m
+        at = m.end()
+
+
 def rule_spans(text: str) -> list[Span]:
     """Leftmost matches of each kind that do not overlap; matches that fail their check are dropped, not tried again."""
-    out = []
-    for kind, pattern, sign in (("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD, ""), ("phone", PHONE, "+")):
+    out = [("email", m.start(), m.end()) for m in _emails(text)] if "@" in text else []
+    for kind, pattern, sign in (("ip", _IP_START, "."), ("card", CARD, ""), ("phone", PHONE, "+")):
         if sign in text:
-            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if kind == "email" or valid(kind, m[0])]
+            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if valid(kind, m[0])]
     return out
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches that can hold a span.
-
-    Every kind holds a digit or an @ (the tagger's spans are checked for that),
-    so a window without either can only be outside, and is not decoded.
-    """
+    """Stretches that can hold a span: those around a digit, an @, or a spelled-out one; elsewhere all is outside."""
     out: list[tuple[int, int]] = []
     for m in _SIGN.finditer(text):
         a, b = max(0, m.start() - STRIDE), min(len(text), m.end() + STRIDE)
@@ -71,57 +108,90 @@ def regions(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over the regions."""
-    out = []
-    for a, b in regions(text):
-        for at in range(a, max(a + 1, b - STRIDE), STRIDE):
-            out.append((at, min(at + WINDOW, b)))
-    return out
-
+def windows(a: int, b: int) -> list[tuple[int, int]]:
+    """Overlapping windows over a region."""
+    return [(at, min(at + WINDOW, b)) for at in range(a, max(a + 1, b - STRIDE), STRIDE)]
 
-def tagged_spans(texts: list[str], tagger: Tagger, batch: int = 256) -> list[list[Span]]:
-    """The tagger's spans in each text.
 
-    All windows of the texts are decoded in batches.  A character that several
-    windows hold has its label from the one in which it is farthest from the
-    ends; the spans are those of the label sequence so put together.
-    """
-    where = [(k, a, b) for k, text in enumerate(texts) for a, b in windows(text)]
-    codes = {k: encode(texts[k]) for k in {w[0] for w in where}}
-    labels = {k: np.zeros(len(c) + 1, np.int8) for k, c in codes.items()}
-    depth = {k: np.full(len(c), -1, np.int16) for k, c in codes.items()}
+def _region_emissions(parts: list[tuple[np.ndarray, int, int]], tagger: Tagger, batch: int) -> list[np.ndarray]:
+    """Emissions of each region (codes of its text, begin, end): the mean over the windows that hold a character, weighted by its distance from their ends."""
+    sums = [np.zeros((b - a, LABELS), np.float32) for _, a, b in parts]
+    weights = [np.zeros((b - a, 1), np.float32) for _, a, b in parts]
+    where = [(k, x, y) for k, (_, a, b) in enumerate(parts) for x, y in windows(a, b)]
     for at in range(0, len(where), batch):
-        part = where[at : at + batch]
-        ids = np.zeros((len(part), WINDOW), np.uint8)
-        for row, (k, a, b) in enumerate(part):
-            ids[row, : b - a] = codes[k][a:b]
-        for (k, a, b), tags in zip(part, tagger.decode(ids)):
-            n = b - a
-            inner = np.minimum(np.arange(n) + (WINDOW if a == 0 else 0), np.arange(n)[::-1] + (WINDOW if b == len(codes[k]) else 0)).astype(np.int16)
-            deeper = inner > depth[k][a:b]
-            labels[k][a:b][deeper] = tags[:n][deeper]
-            depth[k][a:b][deeper] = inner[deeper]
-    out: list[list[Span]] = [[] for _ in texts]
-    for k, tags in labels.items():
-        for start in np.flatnonzero(tags % 2 == 1):
-            kind, end = (tags[start] - 1) // 2, start + 1
-            while tags[end] == tags[start] + 1:
-                end += 1
-            out[k].append((KINDS[kind], int(start), int(end)))
+        some = where[at : at + batch]
+        ids = np.zeros((WINDOW, len(some)), np.uint8)
+        for row, (k, x, y) in enumerate(some):
+            ids[: y - x, row] = parts[k][0][x:y]
+        e = tagger.emissions(ids)
+        for row, (k, x, y) in enumerate(some):
+            n, a = y - x, parts[k][1]
+            weight = np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)).astype(np.float32)[:, None]
+            sums[k][x - a : y - a] += weight * e[:n, row]
+            weights[k][x - a : y - a] += weight
+    return [s / w for s, w in zip(sums, weights)]
+
+
+def _cut(e: np.ndarray) -> list[int]:
+    """Ends of the parts that a region is decoded in: each within STRIDE characters of a multiple of REGION, where outside leads most."""
+    ends, lead = [], e[:, 0] - e[:, 1:].max(axis=1)
+    for at in range(REGION, len(e) - STRIDE, REGION):
+        ends.append(at - STRIDE + int(lead[at - STRIDE : at + STRIDE].argmax()))
+    for k in ends:
+        e[k, 1:] = NEVER  # so that no span runs over it
+    return [*ends, len(e)]
+
+
+def tagged_spans(texts: list[str], tagger: Tagger, batch: int = 256) -> list[list[tuple[Span, float]]]:
+    """The tagger's spans in each text, with their log odds against no span.
+
+    Emissions of overlapping windows are put together first; then each region
+    has one label sequence, the best of all under the transitions, so that spans
+    agree wherever windows began.
+    """
+    codes = {k: encode(text) for k, text in enumerate(texts) if _SIGN.search(text)}
+    parts = [(k, a, b) for k in codes for a, b in regions(texts[k])]
+    jobs = []
+    for (k, a, _), e in zip(parts, _region_emissions([(codes[k], a, b) for k, a, b in parts], tagger, batch)):
+        start = 0
+        for end in _cut(e):
+            if end > start:
+                jobs.append((k, a + start, e[start:end]))
+            start = end
+    jobs.sort(key=lambda job: -len(job[2]))
+    move, out = tagger.moves(), [[] for _ in texts]
+    for at in range(0, len(jobs), batch):
+        some = jobs[at : at + batch]
+        e = np.zeros((len(some[0][2]), len(some), LABELS), np.float32)
+        for row, (_, _, own) in enumerate(some):
+            e[: len(own), row] = own
+        tags = tagger.decode(e, np.array([len(own) for _, _, own in some]))
+        for row, (k, first, own) in enumerate(some):
+            t = tags[: len(own), row]
+            for start in np.flatnonzero(t % 2 == 1):
+                end = start + 1
+                while end < len(t) and t[end] == t[start] + 1:
+                    end += 1
+                span = np.arange(start, end)
+                odds = float((own[span, t[span]] - own[span, 0]).sum())
+                before, after = [0 if start == 0 else t[start - 1]], t[end : end + 1].tolist()
+                for sign, path in ((1, [*before, *t[span], *after]), (-1, [*before, *[0] * len(span), *after])):
+                    odds += sign * float(move[path[:-1], path[1:]].sum())
+                out[k].append(((KINDS[(t[start] - 1) // 2], int(first + start), int(first + end)), odds))
     return out
 
 
 def find(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """(rule spans, all spans) of each text, by kind and start.
 
-    Of the tagger's spans those count that are well-formed values of their kind
-    and touch no rule span.
+    The tagger adds what the rules lose (values that run into others) and forms
+    that they do not know: its spans count if they touch no rule span and are
+    well-formed values of their kind, or plausible ones of which it is sure.
     """
-    rules = [rule_spans(x) if _SIGN.search(x) else [] for x in texts]
     out = []
-    for text, base, more in zip(texts, rules, tagged_spans(texts, tagger)):
-        added = [s for s in more if valid(s[0], text[s[1] : s[2]]) and all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
+    for text, more in zip(texts, tagged_spans(texts, tagger)):
+        base = rule_spans(text) if _SIGN.search(text) else []
+        added = [s for s, odds in more if (valid(s[0], v := text[s[1] : s[2]]) or odds >= LEAST_ODDS and plausible(s[0], v)) and all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
         order = lambda s: (KINDS.index(s[0]), s[1], s[2])
         out.append((sorted(base, key=order), sorted({*base, *added}, key=order)))
     return out
@@ -139,20 +209,34 @@ def _made(rng: np.random.Generator, contexts: list[str]) -> tuple[str, list[Span
     def word() -> str:
         return "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
 
+    def some(*forms: str) -> str:
+        return str(rng.choice(forms))
+
     def value(kind: str) -> str:
+        """A value, in half of the cases in a form that the rules do not know."""
+        own = rng.random() < 0.5
         if kind == "email":
-            return f"{word()}{rng.choice(['.', '_', '', '-'])}{number(rng.integers(1, 4))}@{word()}{rng.choice(['', number(1)])}.{rng.choice(['com', 'org', 'example.com', 'net'])}"
+            name, host, end = f"{word()}{some('.', '_', '', '-')}{number(rng.integers(0, 4))}{word()[:2]}", f"{word()}{some('', number(1))}", some("com", "org", "example.com", "net", "de")
+            at, dot = (("@", "."), (" (at) ", " (dot) "), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" at ", " dot "), (" @ ", "."))[0 if own else int(rng.integers(1, 7))]
+            return f"{name}{at}{host}{dot}{end.replace('.', dot)}"
         if kind == "ip":
-            return ".".join(str(x) for x in rng.integers(1, 256, 4))
+            return ("." if own else some("[.]", "(.)", "[.]", " . ")).join(str(x) for x in rng.integers(1, 256, 4))
         if kind == "card":
             body = number(15)
             full = next(body + str(d) for d in range(10) if luhn(body + str(d)))
-            cut = str(rng.choice(["", " ", "-", ""]))
+            cut = some("", " ", "-", "") if own else some(".", "  ", "/", " - "[:2], "_")
             return cut.join(full[i : i + 4] for i in range(0, 16, 4))
-        return str(rng.choice(["+1 ({0}) {1}-{2}", "+1 {0} {1} {2}", "+49 {0} {1}{2}", "+33 {0} {1} {2}", "+1-{0}-{1}-{2}"])).format(number(3), number(3), number(4))
+        form = some("+1 ({0}) {1}-{2}", "+1 {0} {1} {2}", "+49 {0} {1}{2}", "+33 {0} {1} {2}", "+1-{0}-{1}-{2}") if own else some("({0}) {1}-{2}", "{0}-{1}-{2}", "0{0} {1} {2}", "0{0}/{1}{2}", "00{3} {0} {1} {2}", "{0}.{1}.{2}", "0{0} - {1} {2}")
+        return form.format(number(3), number(3), number(4), number(2))
 
     def other() -> str:
-        return str(rng.choice([number(rng.integers(1, 9)), f"{number(1)}.{number(1)}", f"{number(2)}.{number(2)}.20{number(2)}", f"v{number(1)}.{number(1)}.{number(2)}", f"{number(3)},{number(2)}", f"{number(2)}%", f"{word()}@", f"@{word()}", f"{word()}{number(3)}{word()}", f"20{number(2)}-{number(2)}-{number(2)}"]))
+        digits = lambda n: number(n)
+        hexed = "".join("0123456789abcdef"[k] for k in rng.integers(0, 16, 40))
+        return some(
+            digits(rng.integers(1, 9)), f"{digits(1)}.{digits(1)}", f"{digits(2)}.{digits(2)}.20{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(3)},{digits(2)}", f"{digits(2)}%", f"{word()}@", f"@{word()}",
+            f"{word()}{digits(3)}{word()}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f'"{hexed}"', hexed[:20], f"{digits(2)}:{digits(2)}:{digits(2)}", f"20{digits(2)}-{digits(2)}-{digits(2)} {digits(2)}:{digits(2)}", f"{digits(1)}-{digits(1)}", f"{digits(3)} {digits(3)}", f"{digits(2)}/{digits(2)}/20{digits(2)}",
+            f"{digits(4)}-{digits(4)}", f"at {word()}", f"looked at {word()} and {word()}", f"dot {word()}", f"{digits(1)}.{digits(1)}. ", f"{digits(2)} {word()} {digits(4)}", f"{digits(16)}",
+        )
 
     parts, spans, at = [], [], 0
     left = str(rng.choice(contexts))[-int(rng.integers(0, 50)) :]
@@ -188,7 +272,7 @@ def train(found: list[str], seed: int = 3, epochs: int = 6, made: int = MADE_WIN
     contexts = sorted({re.sub(r"[^\w\s,.]|[0-9_]", "", x) for x in found} | {"the words around it are plain ones, nothing else"})
     examples = [_made(rng, contexts) for _ in range(made)]
     for text in found:
-        whole = [(k, m.start(), m.end()) for k, p in zip(KINDS, (EMAIL, IP, CARD, PHONE)) for m in p.finditer(text) if k != "card" or len(_digits(m[0])) > 10]
+        whole = [(k, m.start(), m.end()) for k, p in zip(KINDS, (EMAIL, _IP_START, CARD, PHONE)) for m in p.finditer(text) if k != "card" or len(_digits(m[0])) > 10]
         if set(whole) == set(rule_spans(text)):
             examples.append((text, whole))
     ids, tags = np.zeros((len(examples), WINDOW), np.int64), np.zeros((len(examples), WINDOW), np.int64)
@@ -204,10 +288,16 @@ def train(found: list[str], seed: int = 3, epochs: int = 6, made: int = MADE_WIN
 
 
 def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = CORPUS_WINDOWS) -> Tagger:
-    """Trains on at most ``limit`` stretches around digits and @ of the corpus, the first in the order of a hash."""
-    around = F.regexp_extract(F.col("text"), r"(?s)(.{0,48}[0-9@].{0,47})", 1)
-    rows = docs.select(docs[id_col].alias("key"), docs[text_col].alias("text")).where(F.col("text").rlike("[0-9@]"))
-    first = rows.select(F.xxhash64("key", F.lit(9)).alias("h"), around.alias("text")).orderBy("h", "text").limit(limit)
+    """Trains on at most ``limit`` stretches of the corpus, around the first digit or @ of a text, the first in the order of a hash of ids.
+
+    Null texts and those without such a sign give none; repeated rows and null
+    ids count like others; other columns are not read.  An empty table gives a
+    tagger that has seen made values only.
+    """
+    rows = docs.select(docs[id_col].alias("key"), docs[text_col].alias("text"))
+    first = F.regexp_instr("text", F.lit("[0-9@]"))
+    near = rows.withColumn("at", first).where("at > 0").select(F.xxhash64("key", F.lit(9)).alias("h"), F.substring("text", F.greatest(F.lit(1), F.col("at") - STRIDE), F.lit(WINDOW)).alias("text"))
+    first = near.orderBy("h", "text").limit(limit)
     return train([r["text"] for r in first.collect()])
 
 
@@ -244,13 +334,13 @@ def joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, the number of rule spans of each kind, base_sha256, spans, and n_added (spans of the tagger alone)."""
+    """doc_id, the number of rule spans of each kind, n_spans (of all spans), base_sha256, spans, and n_added (spans of the tagger alone)."""
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+    return found.select("doc_id", *counts, F.size("spans").cast("long").alias("n_spans"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -264,7 +354,12 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(spark: SparkSession, docs: DataFrame, tagger: Tagger, *, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """``docs`` with all spans replaced in the text and n_chars set anew; other columns stay as they are.  A null text stays null."""
+    """``docs`` with all spans replaced in the text and n_chars (if there is one) set anew.
+
+    Other columns, whatever their names, stay as they are.  A null text stays
+    null, with a null n_chars; an empty one stays empty.  Repeated rows give a
+    row each; an empty table gives no rows.
+    """
     bound_batches(spark)
     shared, names = spark.sparkContext.broadcast(tagger), docs.columns
     where = names.index(text_col)

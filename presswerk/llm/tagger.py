@@ -10,7 +10,7 @@ LABELS = 1 + 2 * len(KINDS)
 _SINGLE = " .-+()@_%,:;/\n\"'=<>[]#$*&|!?"
 #: 0 pads; then lower case, upper case, digit, other; then each of _SINGLE.
 SYMBOLS = 5 + len(_SINGLE)
-_NEVER = -1e4
+NEVER = -1e4
 
 
 def _code_table() -> np.ndarray:
@@ -30,16 +30,16 @@ def encode(text: str) -> np.ndarray:
 
 
 def allowed() -> np.ndarray:
-    """0 where a label may follow another, _NEVER where not: a kind is continued only after the same kind."""
+    """0 where a label may follow another, NEVER where not: a kind is continued only after the same kind."""
     t = np.zeros((LABELS, LABELS))
     for k in range(len(KINDS)):
         inside = 2 + 2 * k
-        t[:, inside] = _NEVER
+        t[:, inside] = NEVER
         t[inside - 1, inside] = t[inside, inside] = 0
     return t
 
 
-_START = np.array([0.0] + [0.0, _NEVER] * len(KINDS))
+_START = np.array([0.0] + [0.0, NEVER] * len(KINDS))
 
 
 def _logsum(x, axis):
@@ -158,20 +158,23 @@ class Tagger:
         return out
 
     # -- decoding --------------------------------------------------------
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The best label sequences (windows, T); padding may only be outside."""
-        ids = ids.T
-        e = self.emissions(ids)
-        e[:, :, 1:] += np.where(ids == 0, np.float32(_NEVER), np.float32(0))[:, :, None]
-        move = (self.p["move"] + allowed()).astype(e.dtype)
-        back = np.empty(e.shape, np.int8)
+    def moves(self) -> np.ndarray:
+        return self.p["move"] + allowed()
+
+    def decode(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The best label sequences (T, N) for emissions (T, N, LABELS) of sequences of falling lengths; 0 behind their ends."""
+        move = self.moves().astype(e.dtype)
+        steps, n = e.shape[:2]
+        back, out = np.zeros(e.shape, np.int8), np.zeros((steps, n), np.int8)
         best = e[0] + _START.astype(e.dtype)
-        for t in range(1, len(e)):
-            paths = best[:, :, None] + move
-            back[t] = paths.argmax(axis=1)
-            best = paths.max(axis=1) + e[t]
-        out, rows = np.empty(ids.shape, np.int8), np.arange(ids.shape[1])
-        out[-1] = best.argmax(axis=1)
-        for t in range(len(e) - 1, 0, -1):
-            out[t - 1] = back[t][rows, out[t]]
-        return out.T
+        for t in range(1, steps):
+            live = int(np.searchsorted(-lengths, -t, side="left"))
+            paths = best[:live, :, None] + move
+            back[t, :live] = paths.argmax(axis=1)
+            best[:live] = paths.max(axis=1) + e[t, :live]
+        now, rows = best.argmax(axis=1), np.arange(n)
+        for t in range(steps - 1, -1, -1):
+            live = rows[: int(np.searchsorted(-lengths, -t, side="left"))]
+            out[t, live] = now[live]
+            now[live] = back[t, live, now[live]]
+        return out
