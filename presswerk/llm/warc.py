@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -16,10 +17,11 @@ from presswerk.llm.common import bound_batches, new_path
 
 #: Payloads below this many bytes are never replaced by a revisit.
 REVISIT_FROM = 1000
-#: Pages of an archive file.
-FILE_RECORDS = 2000
+#: Bytes from which on an archive file is complete.
+FILE_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UUID = "00000000-0000-4000-"
+_NAMELESS = "00000000-0000-8000-"
 
 
 def with_roles(pages: DataFrame) -> DataFrame:
@@ -29,22 +31,28 @@ def with_roles(pages: DataFrame) -> DataFrame:
     largest page_id is the response, and refers_to names it in the others.  Only
     digests that occur twice or more are joined back, one row each, so a payload
     that very many pages share splits like any skewed join.
+
+    Null html is an empty payload, a null url an empty target.  Repeated rows of
+    the largest page_id are responses each.  A null page_id is none of the
+    largest, so that such a page is a revisit where one with an id has its
+    payload, else a response.  Other columns are not read.
     """
     html = F.coalesce(pages["html"], F.lit(""))
     p = pages.select(pages["page_id"].cast("long").alias("page_id"), F.coalesce(pages["url"], F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_digest"))
-    large = p.where((F.col("payload_bytes") >= REVISIT_FROM) & F.col("page_id").isNotNull())
-    shared = large.groupBy("payload_digest").agg(F.max("page_id").alias("target"), F.min("page_id").alias("least")).where("target > least").drop("least")
+    shared = p.where(F.col("payload_bytes") >= REVISIT_FROM).groupBy("payload_digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1 and target is not null").drop("n")
     joined = p.join(shared, "payload_digest", "left")
-    return joined.withColumn("refers_to", F.when((F.col("payload_bytes") >= REVISIT_FROM) & (F.col("page_id") != F.col("target")), F.col("target"))).drop("target")
+    return joined.withColumn("refers_to", F.when((F.col("payload_bytes") >= REVISIT_FROM) & ~F.col("page_id").eqNullSafe(F.col("target")), F.col("target"))).drop("target")
 
 
 def _record_id(page: Column) -> Column:
-    h = F.lower(F.lpad(F.hex(page), 16, "0"))
-    return F.concat(F.lit("<urn:uuid:" + _UUID), F.substring(h, 1, 4), F.lit("-"), F.substring(h, 5, 12), F.lit(">"))
+    """A name of its own for each page; pages without id are named by their payload."""
+    h = F.coalesce(F.lower(F.lpad(F.hex(page), 16, "0")), F.substring("payload_digest", 1, 16))
+    kind = F.when(page.isNull(), _NAMELESS).otherwise(_UUID)
+    return F.concat(F.lit("<urn:uuid:"), kind, F.substring(h, 1, 4), F.lit("-"), F.substring(h, 5, 12), F.lit(">"))
 
 
 def record_of(date: str) -> Column:
-    """The text of a page's record, without the closing line ends."""
+    """The text of a page's record."""
     end = "\r\n"
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{end}Content-Type: text/html; charset=utf-8{end}Content-Length: "), F.col("payload_bytes"), F.lit(end + end))
@@ -58,38 +66,66 @@ def record_of(date: str) -> Column:
         F.lit(f"{end}WARC-Block-Digest: sha1:"), F.sha1(block),
         F.when(revisit, F.concat(F.lit(f"{end}WARC-Profile: {PROFILE}{end}WARC-Refers-To: "), _record_id(F.col("refers_to")))).otherwise(""),
         F.lit(f"{end}Content-Type: application/http; msgtype=response{end}Content-Length: "), F.octet_length(block),
-        F.lit(end + end), block,
+        F.lit(end + end), block, F.lit(end + end),
     )
 
 
-def write_archives(pages: DataFrame, path: str, *, date: str = "2024-02-01T00:00:00Z") -> None:
-    """One record a page, in gzip files of at most FILE_RECORDS records, by Spark's own writer.
+#: A member without content, whose last byte is that of its length.
+_NOTHING = gzip.compress(b"", mtime=0)
+
+
+def _member(record: bytes) -> bytes:
+    """A gzip member that ends in a zero byte: the highest of its content's length, or that of an empty member behind it."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = z.compress(record) + z.flush()
+    return out if out[-1] == 0 else out + _NOTHING
 
+
+def write_archives(pages: DataFrame, path: str, *, date: str = "2024-02-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
+    """One record and one gzip member a page, in files of about ``file_bytes`` bytes, by Spark's own writer.
+
+    A task's members are joined to archives, each a row, and each row is a file.
+    Spark's text writer ends a row by a separator; here that is the zero byte in
+    which every member ends, so that a file holds whole members and nothing else.
     The writer commits a task's files when the task has ended, so a lost
     executor leaves no half archive, and any file system that Spark writes to
-    will do.  Null html is an empty payload, a null url an empty target.  Rows
-    that repeat a page are records each; rows with a null page_id are not
-    written, as a record needs a name.
+    will do.  Rows that repeat a page are records each; ``with_roles`` says what
+    null fields become.
     """
-    rows = with_roles(pages).where("page_id is not null")
-    rows.select(record_of(date).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    spark = pages.sparkSession
+    bound_batches(spark)
+
+    def archives(batches):
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                held.append(_member(record.as_py()))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+
+    records = with_roles(pages).select(F.encode(record_of(date), "utf-8").alias("record")).mapInArrow(archives, "value binary")
+    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 @dataclass
 class Record:
     headers: dict[str, str]
     block: bytes
-    at: int
+    at: int = 0
+    end: int = 0
 
 
 @dataclass
 class Gap:
-    """Bytes [start, end) of a file (of its content, if it was inflated) that gave no record."""
+    """Bytes [start, end) of a file that gave no record, or, of a gzip member, not all that were in it."""
 
     start: int
     end: int
     why: str
-    inflated: bool = False
 
 
 @dataclass
@@ -109,18 +145,18 @@ class Salvage:
         while at < len(data):
             if data.startswith(b"\x1f\x8b\x08", at):
                 used, content, why = _inflate(data, at)
-                if content and (not why or b"WARC/1." in content):
-                    yield from self._records(content, at, inflated=True)
-                if why:
-                    end = self._next(data, at + 1 if not used else max(used, at + 1))
-                    self.gaps.append(Gap(at, end, why))
-                    at = end
-                else:
-                    at = used
+                end = used or self._next(data, at + 1)
+                faults: list[Gap] = []
+                for record in self._records(content, 0, faults):
+                    record.at, record.end = at, end
+                    yield record
+                if why or faults:
+                    self.gaps.append(Gap(at, end, why or faults[0].why))
+                at = end
             elif data.startswith(b"WARC/1.", at):
                 member = data.find(b"\r\n\r\n\x1f\x8b\x08", at)
                 stop = member + 4 if member >= 0 else len(data)
-                yield from self._records(data[at:stop], at, inflated=False)
+                yield from self._records(data[at:stop], at, self.gaps)
                 at = stop
             else:
                 end = self._next(data, at + 1)
@@ -129,7 +165,7 @@ class Salvage:
 
     @staticmethod
     def _next(data: bytes, at: int) -> int:
-        """The next member that inflates, or version line; the end if there is none."""
+        """The next member that begins a record, or version line; the end if there is none."""
         while at < len(data):
             found = [x for x in (data.find(b"\x1f\x8b\x08", at), data.find(b"WARC/1.", at)) if x >= 0]
             if not found:
@@ -140,9 +176,9 @@ class Salvage:
             at += 1
         return len(data)
 
-    def _records(self, data: bytes, base: int, inflated: bool) -> Iterator[Record]:
+    @staticmethod
+    def _records(data: bytes, base: int, gaps: list[Gap]) -> Iterator[Record]:
         at, bad, why = 0, None, ""
-        start = 0 if inflated else base
         while at < len(data):
             record, end, fault = _parse(data, at)
             if record is None:
@@ -153,17 +189,18 @@ class Salvage:
                     break
                 continue
             if bad is not None:
-                self.gaps.append(Gap(start + bad, start + at, why, inflated))
+                gaps.append(Gap(base + bad, base + at, why))
                 bad = None
+            record.at, record.end = base + at, base + end
             yield record
             at = end
         if bad is not None:
-            self.gaps.append(Gap(start + bad, start + len(data), why, inflated))
+            gaps.append(Gap(base + bad, base + len(data), why))
 
 
 def _starts(data: bytes, at: int) -> bool:
     try:
-        return bool(zlib.decompressobj(31).decompress(data[at : at + 4096], 64)) or at + 4096 < len(data)
+        return zlib.decompressobj(31).decompress(data[at : at + 4096], 64).startswith(b"WARC/1.")
     except zlib.error:
         return False
 
@@ -207,7 +244,7 @@ def _parse(data: bytes, at: int) -> tuple[Record | None, int, str]:
     block, digest = data[start:end], headers.get("warc-block-digest", "")
     if digest.startswith("sha1:") and digest[5:].lower() != hashlib.sha1(block).hexdigest():
         return None, at, "the block digest differs"
-    return Record(headers, block, at), end + 4, ""
+    return Record(headers, block), end + 4, ""
 
 
 def _page(uuid: str) -> int | None:
@@ -243,7 +280,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             else:
                 size, own = len(payload), hashlib.sha1(payload).hexdigest()
                 if digest and digest != own:
-                    salvage.gaps.append(Gap(r.at, r.at + len(r.block), "the payload digest differs", True))
+                    salvage.gaps.append(Gap(r.at, r.end, "the payload digest differs"))
                     continue
                 digest = own
             yield _page(r.headers.get("warc-record-id", "")), r.headers.get("warc-target-uri", ""), kind, target, size, digest, payload, name, None, None, None
@@ -277,11 +314,11 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
 
 ORACLE = f"""
-with p as (select page_id, coalesce(html, '') as html from pages where page_id is not null),
+with p as (select page_id, coalesce(html, '') as html from pages),
 d as (select page_id, strlen(html) as payload_bytes, sha1(html) as payload_digest from p),
 m as (select *, max(page_id) over (partition by payload_digest) as target from d)
 select page_id, payload_bytes, payload_digest,
-  case when payload_bytes >= {REVISIT_FROM} and page_id <> target then 'revisit' else 'response' end as record_type,
-  case when payload_bytes >= {REVISIT_FROM} and page_id <> target then target end as refers_to
+  case when payload_bytes >= {REVISIT_FROM} and page_id is distinct from target and target is not null then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= {REVISIT_FROM} and page_id is distinct from target then target end as refers_to
 from m
 """

@@ -644,21 +644,50 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
-def test_warc_damaged_files_are_salvaged(spark, tmp_path):
-    pages = spark.createDataFrame([(k, "u", f"page {k} " * 30) for k in range(50)], "page_id long, url string, html string").coalesce(1)
-    path = f"file://{tmp_path}/w"
-    warc.write_archives(pages, path)
-    file = next(p for p in (tmp_path / "w").iterdir() if p.name.startswith("part"))
-    raw = bytearray(gzip.decompress(file.read_bytes()))
-    at = raw.find(b"page 20 ")
-    raw[at + 3] ^= 0xFF
-    for x in (tmp_path / "w").iterdir():
-        x.unlink()
-    (tmp_path / "w" / "part-0.warc").write_bytes(bytes(raw))
-    rows = warc.read_archives(spark, path).collect()
-    assert {r["page_id"] for r in rows if r["record_type"] == "response"} == set(range(50)) - {20}
-    gap = next(r for r in rows if r["record_type"] == "gap")
-    assert gap["gap_start"] < at < gap["gap_end"] and "digest" in gap["gap_why"]
+def test_warc_null_ids_and_repeats(spark):
+    big = "z" * 1500
+    rows = [(None, big), (3, big), (3, big), (None, "y" * 1200), (None, "y" * 1200), (None, "s")]
+    pages = spark.createDataFrame([(k, None, h) for k, h in rows], "page_id long, url string, html string")
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], str(r["refers_to"])) for r in warc.round_trip(spark, pages).collect())
+    assert got == [("3", 1500, "response", "None")] * 2 + [("None", 1, "response", "None"), ("None", 1200, "response", "None"), ("None", 1200, "response", "None"), ("None", 1500, "revisit", "3")]
+
+
+def written(spark, tmp_path, n=200, **options):
+    pages = spark.createDataFrame([(k, "u", f"page {k} " * 60 + str(k * 7919)) for k in range(n)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w", **options)
+    return sorted(p for p in (tmp_path / "w").iterdir() if p.name.startswith("part"))
+
+
+def test_warc_files_are_members_of_bounded_size(spark, tmp_path):
+    files = written(spark, tmp_path, file_bytes=5000)
+    raw = [p.read_bytes() for p in files]
+    assert len(files) > 3 and max(map(len, raw)) < 6000
+    assert sum(gzip.decompress(b).count(b"WARC/1.1\r\n") for b in raw) == 200
+    assert warc._member(b"x" * 10)[-1] == 0 and gzip.decompress(big := warc._member(bytes(1 << 24))) == bytes(1 << 24) and big[-1] == 0
+
+
+@pytest.mark.parametrize("damage", ["flip", "drop", "zeros", "cut"])
+def test_warc_damaged_files_are_salvaged(spark, tmp_path, damage):
+    (file,) = written(spark, tmp_path)
+    raw = bytearray(file.read_bytes())
+    at = len(raw) // 10
+    if damage == "flip":
+        raw[at] ^= 0xFF
+    elif damage == "drop":
+        del raw[at : at + 5]
+    elif damage == "zeros":
+        raw[at : at + 20] = bytes(20)
+    else:
+        del raw[-30:]
+    file.unlink()
+    (tmp_path / "w" / f".{file.name}.crc").unlink(missing_ok=True)
+    (tmp_path / "w" / "part-0.warc.gz").write_bytes(bytes(raw))
+    rows = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    found = [r["page_id"] for r in rows if r["record_type"] == "response"]
+    assert len(found) == len(set(found)) >= 198 and set(found) <= set(range(200))
+    gaps = sorted((r["gap_start"], r["gap_end"]) for r in rows if r["record_type"] == "gap")
+    assert len(gaps) == 1 and sum(b - a for a, b in gaps) < 2 * len(raw) / 200 + 20
+    assert gaps[0][1] == len(raw) if damage == "cut" else gaps[0][0] <= at < gaps[0][1]
 
 
 # -- pipeline ----------------------------------------------------------------
