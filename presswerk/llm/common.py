@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +113,14 @@ class ChunkMemo(dict):
         return out
 
 
+def give_back_memory() -> None:
+    """Return to the system what this process has freed; allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _worker_state: dict = {}
 
 
@@ -121,7 +132,7 @@ def worker_state(key, make: Callable):
     """
     if key not in _worker_state:
         _worker_state.clear()
-        gc.collect()
+        give_back_memory()
         _worker_state[key] = make()
     return _worker_state[key]
 
@@ -140,6 +151,9 @@ def in_groups(values, chars: int = 1 << 20):
         yield group
 
 
-def bound_batches(spark: SparkSession, size: str = "16m") -> None:
-    """Bound the Arrow batches to Python by bytes, since texts and blocks are of any length."""
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound the Arrow batches to Python by bytes, since texts and blocks are of any length.
+
+    This is a setting of the session, so it holds for its later queries too.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -17,8 +17,8 @@ BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
 #: Signature values compared at a time, and the chance that a step drops a pair at the threshold.
 STEP, MISS = 25, 1e-6
-#: Rows of a bucket that one task compares with each other.
-BLOCK = 512
+#: Rows of a bucket, and shingles of them, that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -165,17 +165,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
 def _rest(spark: SparkSession, bands: DataFrame, reps: DataFrame, texts: DataFrame, parts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links within buckets between classes that are not connected yet, enough of them to connect what is linked.
 
-    Only buckets that still hold two components take part.  A bucket's rows are
-    cut into blocks of about BLOCK, and a task compares two blocks, so that no
-    task gathers a bucket.  It holds a pair's signatures against each other in
-    the first band that both share, and those that stay by their full sets of
-    64-bit shingle hashes; a link joins two components, whose other pairs need
-    no look, so that a task gives fewer rows than it has read.
+    Only buckets that still hold two components take part.  There the rows that
+    are not in the component of the bucket's smallest class ask, and all rows are
+    asked, in blocks bounded by rows and shingles, so that no task gathers a
+    bucket and a large group of copies is dealt once for each block of the rest.
+    A task holds a pair's signatures against each other in the first band that
+    both share, and those that stay by their full sets of 64-bit shingle hashes;
+    a link joins two components, whose other pairs need no look, so that a task
+    gives fewer rows than it has read.
     """
     least = least_matches(num, den)
     now = bands.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = now.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
-    rows = stage(spark, now.join(mixed, "key").select("key", "band", "rep", "component", "n"), "mixed")
+    main = now.where("rep = leader").select("key", F.col("component").alias("main")).distinct()
+    blocks = lambda c: F.ceil(F.greatest(F.count(c) / BLOCK, F.coalesce(F.sum(F.when(c, F.col("n_shingles"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    apart = F.col("component") != F.col("main")
+    mixed = stage(spark, now.join(main, "key").groupBy("key", "main").agg(blocks(F.when(apart, True)).alias("askers"), blocks(F.lit(True)).alias("asked")).where("askers > 0"), "mixed")
+    rows = stage(spark, now.join(mixed, "key").select("key", "band", "rep", "component", "main", "askers", "asked"), "rows")
 
     def sets(batches):
         memo = _memo()
@@ -188,41 +193,30 @@ def _rest(spark: SparkSession, bands: DataFrame, reps: DataFrame, texts: DataFra
     wanted = rows.select("rep").distinct()
     own = texts.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").mapInArrow(sets, "rep long, hashes binary")
     members = stage(spark, own.join(reps.select(F.col("doc_id").alias("rep"), "sig"), "rep"), "members")
-    dealt = (
-        rows.withColumn("own", F.expr(f"cast(pmod(xxhash64(rep), ceil(n / {BLOCK})) as int)"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1)))
-        .select("key", "band", "rep", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .join(members, "rep")
-    )
+    asker = rows.where(apart).selectExpr("key", "band", "rep", "component", "cast(pmod(xxhash64(rep), askers) as int) as i", "explode(sequence(0, asked - 1)) as j", "true as asks")
+    asked = rows.selectExpr("key", "band", "rep", "component", "explode(sequence(0, askers - 1)) as i", "cast(pmod(xxhash64(rep), asked) as int) as j", "false as asks")
+    dealt = asker.union(asked).join(members, "rep")
 
     def run(t: pa.Table) -> pa.Table:
-        band, block = t.column("band")[0].as_py(), t.column("own").to_numpy()
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        band, asks = t.column("band")[0].as_py(), t.column("asks").to_numpy()
         rep, part = t.column("rep").to_numpy(), t.column("component").to_numpy().copy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, HASHES)
-        held = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
-        sizes = np.array([len(h) for h in held])
-        names, codes = np.unique(np.concatenate(held), return_inverse=True)
-        codes, found = np.split(codes, np.cumsum(sizes)[:-1]), []
-        mark = np.zeros(len(names), bool)
-        for k in range(len(rep)):
-            if i != j and block[k] != i:
-                continue
-            other = np.flatnonzero((part != part[k]) & ((rep > rep[k]) if i == j else (block == j)))
+        held, found = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()], []
+        for k in np.flatnonzero(asks):
+            other = np.flatnonzero(~asks & (part != part[k]))
             if band and len(other):
                 before = (sig[other, : band * ROWS] == sig[k, : band * ROWS]).reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
                 other = other[~before]
             other = other[stays(np.broadcast_to(sig[k], (len(other), HASHES)), sig[other], least)]
-            if not len(other):
-                continue
-            mark[codes[k]] = True
             for o in other:
                 if part[o] != part[k]:
-                    both = int(np.count_nonzero(mark[codes[o]]))
-                    if den * both >= num * (sizes[k] + sizes[o] - both):
+                    a, b = held[k], held[o]
+                    if den * min(len(a), len(b)) < num * max(len(a), len(b)):
+                        continue
+                    both = int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b))
+                    if den * both >= num * (len(a) + len(b) - both):
                         found.append((max(rep[k], rep[o]), min(rep[k], rep[o])))
                         part[part == part[o]] = part[k]
-            mark[codes[k]] = False
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -241,25 +235,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
 
     Null and empty texts have no shingles and link with nothing; a text of fewer
     words than ``size`` is one shingle.  A null id links with nothing, has no
-    component and is not kept.  Rows that repeat a document are rows of one
-    class each.  An empty table gives no rows.  Other columns are not read.
+    component and is not kept.  Rows that repeat a document's text are rows of
+    one class each; texts that share a doc_id are linked through it.  An empty
+    table gives no rows.  Other columns are not read.
     """
     bound_batches(spark)
     rows = stage(spark, signatures(docs, id_col, text_col, size), "signatures")
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    of_class = stage(spark, rows.drop("sig").join(classes, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "classes")
-    reps = stage(spark, full.join(of_class.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig"), "reps")
+    classes = stage(spark, full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
+    of_class = rows.select("doc_id", "n_shingles", "c1", "c2").join(classes, ["c1", "c2"], "left")
+    of_class = stage(spark, of_class.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"), "c1", "c2"), "of_class")
+    # Of each class the row of its smallest id; an id can be that of several classes.
+    first = of_class.where("doc_id = rep").select("doc_id", "c1", "c2").distinct()
+    reps = stage(spark, full.join(first, ["doc_id", "c1", "c2"], "left_semi").dropDuplicates(["doc_id", "c1", "c2"]).select("doc_id", "n_shingles", "sig"), "reps")
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("text is not null")
+    shared = stage(spark, of_class.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("n > 1"), "shared")
+    if not shared.isEmpty():
+        texts = texts.dropDuplicates(["doc_id", "text"])
+    same_id = of_class.join(shared.where("lo < hi").select("doc_id", "lo"), "doc_id").where("rep <> lo").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
 
-    each = reps.select(F.col("doc_id").alias("rep"), "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    keyed = each.select("rep", "band", F.expr(f"xxhash64(band, substring(sig, {4 * ROWS} * band + 1, {4 * ROWS}))").alias("key"))
+    each = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    keyed = each.select("rep", "n_shingles", "band", F.expr(f"xxhash64(band, substring(sig, {4 * ROWS} * band + 1, {4 * ROWS}))").alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    bands = stage(spark, keyed.join(leaders, "key").select("key", "band", "rep", "leader"), "bands")
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("text is not null")
+    bands = stage(spark, keyed.join(leaders, "key").select("key", "band", "rep", "n_shingles", "leader"), "bands")
 
     star = stage(spark, bands.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    tested = stage(spark, _pruned(star, reps, num, den), "pruned")
-    links = stage(spark, _verified(tested, texts, size, num, den), "links")
+    tested = stage(spark, _pruned(star, reps, num, den).distinct(), "pruned")
+    links = stage(spark, _verified(tested, texts, size, num, den).union(same_id).distinct(), "links")
     parts = connected_components(spark, links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     rest = stage(spark, _rest(spark, bands, reps, texts, parts, size, num, den).distinct(), "rest")
     more = stage(spark, _verified(rest, texts, size, num, den), "links")

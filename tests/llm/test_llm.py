@@ -418,6 +418,24 @@ def test_minhash_blocks_of_a_large_bucket(spark, monkeypatch):
     assert got == groups(range(80), [(a, b) for a in range(80) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
 
 
+def test_minhash_ids_with_several_texts(spark):
+    """Texts that share an id are linked through it, however often rows repeat."""
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "red green blue white")
+    rows = [(5, a), (5, a), (5, b), (3, b), (7, a), (9, c), (2, None), (2, c), (9, c), (8, ""), (8, "")]
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, rep string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark, df, size=3).collect())
+    assert got == [(2, 0, 2, True), (2, 2, 2, True), (3, 3, 3, True), (5, 2, 3, False), (5, 2, 3, False), (5, 3, 3, False), (7, 2, 3, False), (8, 0, 8, True), (8, 0, 8, True), (9, 2, 2, False), (9, 2, 2, False)]
+
+
+def test_minhash_of_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 5000)
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(3000)}" for _ in range(20000)]
+    texts = [" ".join(base), " ".join([*base[:19000], *(f"n{k}" for k in range(1000))]), " ".join(base[:19500]), "short text of a few words", " ".join(f"o{k}" for k in range(20000))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark, docs(spark, texts), size=3, num=85, den=100).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+
+
 def test_minhash_exact_verification_and_pruning():
     rng = random.Random(13)
     for size in (1, 3, 5):
