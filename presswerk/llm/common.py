@@ -91,7 +91,7 @@ class ChunkMemo(dict):
     #: Bytes that an entry takes besides its characters.
     ENTRY = 200
 
-    def __init__(self, make: Callable[[list], list[bytes]], limit: int = 24 << 20):
+    def __init__(self, make: Callable[[list], list[bytes]], limit: int = 48 << 20):
         super().__init__()
         self.make, self.limit, self.held = make, limit, 0
 
