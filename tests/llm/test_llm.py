@@ -184,6 +184,45 @@ def test_topk_of_few(spark):
     assert topk.search(spark, df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("scale,dim", [(1 << 20, 8), (1 << 27, 128), (1e6, 128), (1e37, 16)])
+def test_topk_of_large_components(spark, scale, dim):
+    """Scores above 2**53, and such that no long holds, are ranked exactly."""
+    rng = np.random.default_rng(22)
+    base = rng.standard_normal((300, dim)).astype(np.float32) * np.float32(scale)
+    base[100] = base[50]
+    base[101] = np.nextafter(base[50], np.float32(np.inf))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(base)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in topk.search(spark, df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = [[int(np.floor(256 * float(x))) if abs(256 * float(x)) < 2**53 else int(256 * float(x)) for x in v] for v in base]
+    for q in range(0, 300, 50):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[k])), k) for k in range(300) if k != q)[:5]
+        assert sorted(got[q]) == [(n, k, min(max(-s, topk.LEAST), topk.MOST)) for n, (s, k) in enumerate(scores, 1)]
+
+
+def test_topk_orders_what_no_long_holds():
+    scores = [-(10**80), -(1 << 63) - 1, -(1 << 63), -5, (1 << 63) - 1, 1 << 63, 10**80]
+    keys = [(min(max(s, topk.LEAST), topk.MOST), topk.beyond(s)) for s in scores]
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
+
+
+def test_topk_drops_segments_that_cannot_serve(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SEGMENT", 40)
+    monkeypatch.setattr(topk, "BOUNDS", 3)
+    rng = np.random.default_rng(23)
+    centers = rng.standard_normal((8, 6)) * 3
+    base = centers[rng.integers(0, 8, 600)] + rng.standard_normal((600, 6)) * 0.1
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in topk.search(spark, df, F.col("vec_id") % 50 == 0).collect())
+    whole = np.floor(256 * base).astype(int)
+    want = []
+    for q in range(0, 600, 50):
+        order = sorted((-int(whole[q] @ whole[k]), k) for k in range(600) if k != q)[:5]
+        want += [(q, n, k) for n, (_, k) in enumerate(order, 1)]
+    assert got == want
+
+
 def test_topk_skips_blocks():
     rng = np.random.default_rng(4)
     docs_ = np.sort(rng.integers(-200, 200, (4096, 8)), axis=0).astype(float)
