@@ -13,9 +13,10 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     of equal ones that with the smallest conv_id stays.  The rolling hash of a
     prefix is the running XOR of two 64-bit hashes of (position, role, text),
     so that every prefix of every conversation costs one row and nothing is
-    concatenated.  Prefix rows are aggregated by (length, hash) before they are
-    joined: however many copies of a conversation were logged, a key has one
-    row on the build side.
+    concatenated; prefixes are taken as equal if length and both hashes are.
+    Whole conversations and proper prefixes are each aggregated by (length,
+    hashes) before the anti-join: however many copies of a conversation were
+    logged, a key has one row on either side.
 
     Turns are ordered by turn, then role and text; null turns come first.  Null
     roles and texts count as empty.  Repeated rows count once.  Rows with a null
@@ -33,10 +34,9 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prefixes = hashed.select("conv_id", "pos", F.bit_xor("x").over(upto).alias("hx"), F.bit_xor("y").over(upto).alias("hy"), F.count("*").over(Window.partitionBy("conv_id")).alias("n"))
     keys = ["pos", "hx", "hy"]
-    seen = prefixes.groupBy(*keys).agg(F.max("n").alias("longest"), F.min(F.when(F.col("n") == F.col("pos"), F.col("conv_id"))).alias("first"), F.count(F.when(F.col("n") == F.col("pos"), 1)).alias("copies"))
-    ends = prefixes.where("n = pos").select("conv_id", *keys)
-    longer = seen.where("longest > pos").select(*keys)
-    kept = ends.join(longer, keys, "left_anti").join(seen.select(*keys, "first", "copies"), keys).where("conv_id = first").select("conv_id", "copies")
+    whole = prefixes.where("n = pos").groupBy(*keys).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
+    longer = prefixes.where("n > pos").select(*keys).distinct()
+    kept = whole.join(longer, keys, "left_anti").select("conv_id", "copies")
     rendered = (
         numbered.join(kept, "conv_id")
         .groupBy("conv_id", "copies")

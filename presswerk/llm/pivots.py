@@ -26,7 +26,8 @@ SLACK = 1e-7
 
 
 def _unit(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64).reshape(-1, dim)
+    flat = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -56,7 +57,8 @@ def describe(v: DataFrame, pivots: np.ndarray) -> DataFrame:
         for batch in batches:
             dots = _unit(batch.column("v"), p.shape[1]) @ p.T
             order = np.argsort(-dots, axis=1, kind="stable")[:, :near].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order), pa.list_(pa.int32()))], names=[*batch.schema.names, "near"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, near), pa.int32()), pa.array(order.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "near"])
 
     return v.mapInArrow(run, "vec_id long, label string, v array<double>, near array<int>")
 
@@ -120,7 +122,7 @@ def _linked(spark: SparkSession, v: DataFrame, dim: int, count: int, cos: float)
     lists = stage(spark, lists, "described")
     sizes = lists.groupBy("label", "first").agg(F.count("*").alias("n"))
     dealt = lists.join(sizes, ["label", "first"]).withColumn("block", F.expr(f"pmod(xxhash64(vec_id), ceil(n / {BLOCK}))"))
-    clumped = dealt.groupBy("label", "first", "block").applyInArrow(lambda t: _clumps(t, dim, cos), "vec_id long, label string, v array<double>, near array<int>, clump long")
+    clumped = dealt.repartition("label", "first", "block").groupBy("label", "first", "block").applyInArrow(lambda t: _clumps(t, dim, cos), "vec_id long, label string, v array<double>, near array<int>, clump long")
     clumped = stage(spark, clumped, "clumped")
 
     # A clump's center and radius.

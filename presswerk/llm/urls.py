@@ -11,8 +11,9 @@ from presswerk.llm.common import stage
 
 #: One odd multiplier below 2**30 for each of a block's eight 32-bit words, so that products with 32 bits fit a long.
 SALTS = tuple(((2 * k + 1) * 0x2545F491) & 0x3FFFFFFF | 1 for k in range(8))
-#: A block has 256 bits; about 16 listed URLs share one.  The filter never exceeds MAX_BLOCKS * 32 bytes (32 MB).
+#: A block has 256 bits; about 16 listed URLs share one.
 URLS_PER_BLOCK = 16
+#: A filter of at most so many blocks (32 MB) is sent to all workers; a larger one is a table that pages are joined with.
 MAX_BLOCKS = 1 << 20
 
 #: Rules of the production query: (host, path) and verdict.
@@ -53,6 +54,20 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name.cast("string"), verdict.cast("string")
 
 
+def block_of(h: Column, count: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(h, 32), F.lit(count))
+
+
+def bits_of(hash_col: str) -> list[Column]:
+    """The bit of each of a block's words that an entry sets."""
+    return [F.expr(f"shiftleft(1, cast(shiftrightunsigned((({hash_col} & 4294967295L) * {m}L) & 4294967295L, 27) as int))") for m in SALTS]
+
+
+def block_table(listed: DataFrame, hash_col: str, count: int) -> DataFrame:
+    """block, w0 to w7: the blocks that hold an entry, put together by bit_or (combined before the shuffle)."""
+    return listed.groupBy(block_of(F.col(hash_col), count).cast("int").alias("block")).agg(*[F.bit_or(b).alias(f"w{k}") for k, b in enumerate(bits_of(hash_col))])
+
+
 class BlockedBloom:
     """256-bit blocks; an entry sets one bit in each of its block's eight words."""
 
@@ -60,16 +75,12 @@ class BlockedBloom:
         self.words = words
 
     @staticmethod
-    def of(listed: DataFrame, hash_col: str, entries: int) -> BlockedBloom:
-        """Blocks are put together by bit_or (combined before the shuffle); their number is bounded, and so is what comes to the driver."""
-        blocks = max(1, min(MAX_BLOCKS, -(-entries // URLS_PER_BLOCK)))
-        h = F.col(hash_col)
-        bits = [F.expr(f"shiftleft(1, cast(shiftrightunsigned((({hash_col} & 4294967295L) * {m}L) & 4294967295L, 27) as int))") for m in SALTS]
-        block = F.pmod(F.shiftrightunsigned(h, 32), F.lit(blocks)).cast("int")
-        rows = listed.groupBy(block.alias("block")).agg(*[F.bit_or(b).alias(f"w{k}") for k, b in enumerate(bits)])
-        words = np.zeros((blocks, len(SALTS)), np.uint32)
-        got = rows.toArrow()
-        words[got.column("block").to_numpy()] = np.stack([got.column(f"w{k}").to_numpy().astype(np.int32).view(np.uint32) for k in range(len(SALTS))], axis=1) if got.num_rows else words[:0]
+    def of(blocks: DataFrame, count: int) -> BlockedBloom:
+        """The filter of a table of blocks, as ``block_table`` gives it."""
+        words = np.zeros((count, len(SALTS)), np.uint32)
+        got = blocks.toArrow()
+        if got.num_rows:
+            words[got.column("block").to_numpy()] = np.stack([got.column(f"w{k}").to_numpy().astype(np.int32).view(np.uint32) for k in range(len(SALTS))], axis=1)
         return BlockedBloom(words)
 
     def __contains__(self, h: int) -> bool:
@@ -83,7 +94,28 @@ class BlockedBloom:
         return ((rows & bit) == bit).all(axis=1)
 
 
-def judge(spark: SparkSession, pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
+def _probed(spark: SparkSession, rows: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
+    """``rows`` with ``maybe``, from a filter that every worker has."""
+    bloom = spark.sparkContext.broadcast(BlockedBloom.of(blocks, count))
+
+    def probe(batches):
+        for b in batches:
+            maybe = bloom.value.hits(b.column("h").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe)], names=[*b.schema.names, "maybe"])
+
+    return rows.mapInArrow(probe, "page_id long, host string, path string, canonical string, rule string, by_rule string, h long, maybe boolean")
+
+
+def _joined(rows: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
+    """``rows`` with ``maybe``, from a filter whose blocks are rows of a table: of any size, at the cost of a shuffle by block."""
+    both = rows.withColumn("block", block_of(F.col("h"), count).cast("int")).join(blocks, "block", "left")
+    maybe = F.lit(True)
+    for k, bit in enumerate(bits_of("h")):
+        maybe = maybe & (F.coalesce(F.col(f"w{k}"), F.lit(0)).bitwiseAND(bit) == bit)
+    return both.select(*rows.columns, maybe.alias("maybe"))
+
+
+def judge(spark: SparkSession, pages: DataFrame, listed: DataFrame, rules=RULES, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """page_id, host, path, rule, verdict, canonical: the rule's verdict, else block if the canonical URL is listed, else allow.
 
     The filter passes possible hits; only they are joined with the list, on the
@@ -95,18 +127,13 @@ def judge(spark: SparkSession, pages: DataFrame, listed: DataFrame, rules=RULES)
     page_id stays null.  Empty tables give no rows; other columns are not read.
     """
     wanted = stage(spark, listed.select(canonical(listed["url"]).alias("canon")).where("canon <> ''").distinct().withColumn("h", F.xxhash64("canon")), "listed")
-    bloom = spark.sparkContext.broadcast(BlockedBloom.of(wanted, "h", wanted.count()))
-
-    def probe(batches):
-        for b in batches:
-            maybe = bloom.value.hits(b.column("h").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe)], names=[*b.schema.names, "maybe"])
-
+    count = max(1, -(-wanted.count() // URLS_PER_BLOCK))
     url = pages["url"]
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(canonical(url), F.lit("")).alias("canonical"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), F.xxhash64("canonical").alias("h"))
-    probed = rows.mapInArrow(probe, "page_id long, host string, path string, canonical string, rule string, by_rule string, h long, maybe boolean")
+    blocks = block_table(wanted, "h", count)
+    probed = stage(spark, _probed(spark, rows, blocks, count) if count <= max_blocks else _joined(rows, blocks, count), "probed")
     sure = probed.where("not maybe").withColumn("found", F.lit(None).cast("boolean"))
     hits = probed.where("maybe").join(wanted.select(F.col("canon").alias("canonical"), F.lit(True).alias("found")), "canonical", "left")
     both = sure.unionByName(hits)
@@ -114,7 +141,7 @@ def judge(spark: SparkSession, pages: DataFrame, listed: DataFrame, rules=RULES)
 
 
 def feed_list(pages: DataFrame) -> DataFrame:
-    """The production query's list: URLs that were taken from a feed or whose host is a spam host."""
+    """The production query's list: URLs that were taken from a feed or whose host is a spam host.  Null URLs are not in it; an empty table gives none."""
     return pages.where(pages["url"].rlike("[?&]utm_source=feed") | host_of(pages["url"]).rlike(r"(^|\.)spam"))
 
 

@@ -536,15 +536,20 @@ def test_urls_judged(spark):
     listed = spark.createDataFrame([("https://l.net/p/?k=1",), (None,)], "url string")
     got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(spark, pages, listed).collect())
     assert got == [(k, *c[1:]) for k, c in enumerate(cases)]
+    joined = urls.judge(spark, pages, listed, max_blocks=0)
+    assert sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in joined.collect()) == got
     assert urls.judge(spark, pages.limit(0), listed.limit(0)).count() == 0
 
 
 def test_bloom_has_no_false_negatives(spark):
-    df = spark.range(3000).select(F.xxhash64("id").alias("h"))
-    b = urls.BlockedBloom.of(df, "h", 3000)
+    df, count = spark.range(3000).select(F.xxhash64("id").alias("h")), 3000 // urls.URLS_PER_BLOCK
+    b = urls.BlockedBloom.of(urls.block_table(df, "h", count), count)
     inside = df.toArrow().column("h").to_numpy()
-    other = spark.range(3000, 23000).select(F.xxhash64("id").alias("h")).toArrow().column("h").to_numpy()
-    assert b.hits(inside).all() and b.hits(other).mean() < 0.02 and b.words.nbytes <= 32 * urls.MAX_BLOCKS
+    other = spark.range(3000, 23000).select(F.xxhash64("id").alias("h"))
+    hits = b.hits(other.toArrow().column("h").to_numpy())
+    assert b.hits(inside).all() and hits.mean() < 0.02
+    joined = urls._joined(other, urls.block_table(df, "h", count), count).where("maybe").count()
+    assert joined == hits.sum()
 
 
 # -- 9 personal data ---------------------------------------------------------
