@@ -21,6 +21,8 @@ APART = 0.8
 SHARED = 3
 #: Rows that one task groups or compares at a time.
 BLOCK = 2048
+#: Clumps of a list from which on they meet in blocks, as two matrices in a task, instead of pair by pair.
+LONG_LIST = 512
 #: Radians by which a bound must be clear of the threshold.
 SLACK = 1e-7
 
@@ -56,19 +58,27 @@ def describe(v: DataFrame, pivots: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in batches:
             dots = _unit(batch.column("v"), p.shape[1]) @ p.T
-            order = np.argsort(-dots, axis=1, kind="stable")[:, :near].astype(np.int32)
+            order = np.sort(np.argpartition(-dots, near - 1, axis=1)[:, :near], axis=1)
+            order = np.take_along_axis(order, np.argsort(-np.take_along_axis(dots, order, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, near), pa.int32()), pa.array(order.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "near"])
 
     return v.mapInArrow(run, "vec_id long, label string, v array<double>, near array<int>")
 
 
+CLUMPED = "vec_id long, label string, v array<double>, near array<int>, clump long, n long, center array<double>, radius double"
+
+
 def _clumps(t: pa.Table, dim: int, cos: float) -> pa.Table:
-    """Groups a block's rows around mean directions so tightly that all rows of a clump are linked with each other."""
+    """Groups a block's rows around mean directions so tightly that all rows of a clump are linked with each other.
+
+    A clump is named by its smallest vec_id, whose row also has the number of
+    rows, the center and the radius; these are null in the others.
+    """
     x, ids = _unit(t.column("v"), dim), t.column("vec_id").to_numpy()
     tight = math.cos(math.acos(cos) / 2 - 1e-9)
-    owner = np.full(len(ids), -1)
-    left = np.argsort(ids, kind="stable")
+    owner, left = np.full(len(ids), -1), np.argsort(ids, kind="stable")
+    n, centers, radius = [None] * len(ids), [None] * len(ids), [None] * len(ids)
     while len(left):
         seed = left[0]
         close = left[x[left] @ x[seed] >= cos]
@@ -78,8 +88,13 @@ def _clumps(t: pa.Table, dim: int, cos: float) -> pa.Table:
         if seed not in inside:
             inside = left[:1]
         owner[inside] = ids[inside].min()
-        left = left[owner[left] < 0]
-    return pa.table({"vec_id": t.column("vec_id"), "label": t.column("label"), "v": t.column("v"), "near": t.column("near"), "clump": pa.array(owner, pa.int64())})
+        left = left[owner[left] < 0] if (ids >= 0).all() else left[~np.isin(left, inside)]
+        head, center = inside[ids[inside].argmin()], x[inside].sum(axis=0)
+        center /= np.linalg.norm(center)
+        n[head], centers[head] = len(inside), center
+        radius[head] = float(np.arccos(np.clip((x[inside] @ center).min(), -1, 1))) if len(inside) > 1 else 0.0
+    own = [t.column(c) for c in ("vec_id", "label", "v", "near")]
+    return pa.table([*own, pa.array(owner, pa.int64()), pa.array(n, pa.int64()), pa.array(centers, pa.list_(pa.float64())), pa.array(radius, pa.float64())], names=[c.split()[0] for c in CLUMPED.split(", ")])
 
 
 def _pair_links(batch: pa.RecordBatch, dim: int, cos: float):
@@ -97,8 +112,8 @@ def _pair_links(batch: pa.RecordBatch, dim: int, cos: float):
         out = []
 
 
-def _whole_label(t: pa.Table, dim: int, most: float) -> pa.Table:
-    """Pairs of clumps, each of one block of a label with each of the other (or of the same), that bounds do not rule out."""
+def _meet(t: pa.Table, dim: int, most: float) -> pa.Table:
+    """Pairs of clumps, each of one block of a list with each of the other (or of the same), that bounds do not rule out."""
     x, r = _unit(t.column("v"), dim), t.column("radius").to_numpy()
     clump, n, block = (t.column(c).to_numpy() for c in ("clump", "n", "block"))
     lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
@@ -120,41 +135,34 @@ def _linked(spark: SparkSession, v: DataFrame, dim: int, count: int, cos: float)
     # Clumps: blocks of the rows that have the same label and nearest pivot.
     lists = described.select("*", F.col("near")[0].alias("first"))
     lists = stage(spark, lists, "described")
-    sizes = lists.groupBy("label", "first").agg(F.count("*").alias("n"))
-    dealt = lists.join(sizes, ["label", "first"]).withColumn("block", F.expr(f"pmod(xxhash64(vec_id), ceil(n / {BLOCK}))"))
-    clumped = dealt.repartition("label", "first", "block").groupBy("label", "first", "block").applyInArrow(lambda t: _clumps(t, dim, cos), "vec_id long, label string, v array<double>, near array<int>, clump long")
+    sizes = stage(spark, lists.groupBy("label", "first").agg(F.count("*").alias("n")), "sizes")
+    dealt = lists.join(sizes, ["label", "first"]).withColumn("block", F.expr(f"pmod(xxhash64(vec_id), ceil(n / {BLOCK}))")).drop("n")
+    clumped = dealt.repartition("label", "first", "block").groupBy("label", "first", "block").applyInArrow(lambda t: _clumps(t, dim, cos), CLUMPED)
     clumped = stage(spark, clumped, "clumped")
-
-    # A clump's center and radius.
-    many = clumped.groupBy("clump").agg(F.count("*").alias("n"))
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)))
-    big = many.where("n > 1").select("clump", "n")
-    members = clumped.join(big, "clump", "left")
-
-    def centers(t: pa.Table) -> pa.Table:
-        x = _unit(t.column("v"), dim)
-        c = x.sum(axis=0)
-        c /= np.linalg.norm(c)
-        radius = float(np.arccos(np.clip((x @ c).min(), -1, 1)))
-        return pa.table({"clump": t.column("clump")[:1], "label": t.column("label")[:1], "n": pa.array([len(x)], pa.int64()), "v": pa.array([c.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius])})
-
-    singles = members.where("n is null").select("clump", "label", F.lit(1).cast("long").alias("n"), unit(F.col("v")).alias("v"), F.lit(0.0).alias("radius"))
-    groups = members.where("n is not null").groupBy("clump").applyInArrow(centers, "clump long, label string, n long, v array<double>, radius double")
-    heads = stage(spark, singles.union(groups), "heads")
+    heads = clumped.where("n is not null").select("clump", "label", "n", F.col("center").alias("v"), "radius")
+    big = heads.where("n > 1").select("clump", "n")
     most = math.acos(cos)
+    judged_kind = "a long, b long, a_n long, b_n long, bound string"
+
+    def in_blocks(rows: DataFrame, *by: str) -> DataFrame:
+        """Clumps of each list (with its number of ``blocks``) that bounds do not keep apart, block by block."""
+        dealt = rows.withColumn("block", F.expr("pmod(xxhash64(clump), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+        return dealt.repartition(*by, "lo", "hi").groupBy(*by, "lo", "hi").applyInArrow(lambda t: _meet(t, dim, most), judged_kind)
+
     if len(pivots) < LEAST_PIVOTS:
-        # Too few pivots tell nothing apart (copies, narrow cones, small tables): all clumps of a label meet, as pairs of blocks.
-        counts = heads.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        meet = heads.join(counts, "label").withColumn("block", F.expr("pmod(xxhash64(clump), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        meet = meet.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-        judged = meet.groupBy("label", "lo", "hi").applyInArrow(lambda t: _whole_label(t, dim, most), "a long, b long, a_n long, b_n long, bound string")
+        # Too few pivots tell nothing apart (copies, narrow cones, small tables): all clumps of a label meet.
+        counts = stage(spark, heads.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "counts")
+        judged = in_blocks(heads.join(counts, "label"), "label")
     else:
         # Inverted lists of SHARED pivots, in which a clump is posted for each of its rows' descriptions: clumps meet if two of their rows share SHARED.
         p = len(pivots)
         near = clumped.select("clump", "label", F.array_sort("near").alias("near")).distinct()
         keys = [reduce(lambda key, i: key * p + F.get("near", F.lit(i)).cast("long"), spots, F.lit(0).cast("long")) for spots in combinations(range(NEAR), SHARED)]
         posted = stage(spark, near.select("clump", "label", F.explode(F.array(*keys)).alias("key")).distinct(), "posted")
-        a, b = posted.alias("a"), posted.alias("b")
+        long_ = stage(spark, posted.groupBy("label", "key").agg(F.count("*").alias("m")).where(F.col("m") > LONG_LIST).select("label", "key", F.ceil(F.col("m") / BLOCK).alias("blocks")), "long")
+        short = posted.join(long_, ["label", "key"], "left_anti")
+        a, b = short.alias("a"), short.alias("b")
         pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.clump") < F.col("b.clump"))).select(F.col("a.clump").alias("a"), F.col("b.clump").alias("b")).distinct()
 
         # Bounds by centers and radii.
@@ -164,6 +172,9 @@ def _linked(spark: SparkSession, v: DataFrame, dim: int, count: int, cos: float)
             "a", "b", "a_n", "b_n",
             F.when(F.col("angle") + F.col("a_r") + F.col("b_r") <= most - SLACK, "all").when(F.col("angle") - F.col("a_r") - F.col("b_r") > most + SLACK, "none").otherwise("rows").alias("bound"),
         )
+        if not long_.isEmpty():
+            rows = posted.join(long_, ["label", "key"]).join(heads.drop("label"), "clump")
+            judged = judged.union(in_blocks(rows, "label", "key")).groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.min("bound").alias("bound"))
     judged = stage(spark, judged.where("bound <> 'none'"), "judged")
     whole = judged.where("bound = 'all'")
     open_ = judged.where("bound = 'rows'").select("a", "b")

@@ -145,6 +145,21 @@ def test_pivots_clump_members_are_indexed(spark, monkeypatch):
     assert 0.985 * links <= got <= links
 
 
+def test_pivots_long_lists_give_the_same(spark, monkeypatch):
+    """Lists whose clumps meet in blocks give what pairs of clumps give; ids below 0 are ids like others."""
+    rng = np.random.default_rng(24)
+    centers = rng.normal(size=(70, 24))
+    x = np.concatenate([centers, centers[rng.integers(0, 6, 300)] + rng.normal(size=(300, 24)) * 0.2])
+    df = spark.createDataFrame([(k - 200, "ab"[k % 2], v.tolist()) for k, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    whole = sorted(map(tuple, pivots.near_duplicates(spark, df).collect()))
+    monkeypatch.setattr(pivots, "LONG_LIST", 2)
+    monkeypatch.setattr(pivots, "BLOCK", 40)
+    assert sorted(map(tuple, pivots.near_duplicates(spark, df).collect())) == whole
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = sum(int((unit[k::2] @ unit[k::2].T >= 0.93).sum()) - len(unit[k::2]) for k in (0, 1))
+    assert 0.95 * links <= sum(r[1] for r in whole) <= links and links > 1000
+
+
 def test_clumps_are_fully_linked():
     import pyarrow as pa
 
