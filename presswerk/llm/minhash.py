@@ -55,12 +55,12 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each of HASHES multiply-shift permutations, as unsigned 32-bit numbers."""
+    """The last 16 bits of the least value of each of HASHES multiply-shift permutations; different values agree in them by chance once in 65,536 times."""
     a, b = _permutations()
     low = np.full(HASHES, 0xFFFFFFFF, np.uint64)
     for at in range(0, len(hashes), 256):
         low = np.minimum(low, ((hashes[at : at + 256, None] * a + b) >> np.uint64(32)).min(axis=0))
-    return low.astype("<u4")
+    return (low & np.uint64(0xFFFF)).astype("<u2")
 
 
 @functools.lru_cache(maxsize=8)
@@ -136,7 +136,7 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            m = [np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, HASHES) for k in (2, 3)]
+            m = [np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, HASHES) for k in (2, 3)]
             yield batch.select([0, 1]).take(pa.array(stays(*m, least)))
 
     with_a = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
@@ -200,7 +200,7 @@ def _rest(spark: SparkSession, bands: DataFrame, reps: DataFrame, texts: DataFra
     def run(t: pa.Table) -> pa.Table:
         band, asks = t.column("band")[0].as_py(), t.column("asks").to_numpy()
         rep, part = t.column("rep").to_numpy(), t.column("component").to_numpy().copy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, HASHES)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
         held, found = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()], []
         for k in np.flatnonzero(asks):
             other = np.flatnonzero(~asks & (part != part[k]))
@@ -255,7 +255,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     same_id = of_class.join(shared.where("lo < hi").select("doc_id", "lo"), "doc_id").where("rep <> lo").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
 
     each = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    keyed = each.select("rep", "n_shingles", "band", F.expr(f"xxhash64(band, substring(sig, {4 * ROWS} * band + 1, {4 * ROWS}))").alias("key"))
+    keyed = each.select("rep", "n_shingles", "band", F.expr(f"xxhash64(band, substring(sig, {2 * ROWS} * band + 1, {2 * ROWS}))").alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     bands = stage(spark, keyed.join(leaders, "key").select("key", "band", "rep", "n_shingles", "leader"), "bands")
 
