@@ -244,8 +244,8 @@ def strip_appendix(c: Column) -> Column:
 def note_before_sources(c: Column, note: Column) -> Column:
     """The note as a paragraph before the last line that starts with 'Källor:', else at the end."""
     s, n = strip(c), strip(note)
-    head = F.regexp_extract(s, r"(?is)^(.*(?:^|\n))källor\s*:[^\n]*", 1)
-    found = F.regexp_like(s, F.lit(r"(?im)^källor\s*:"))
+    head = F.regexp_extract(s, r"(?isu)^(.*(?:^|\n))källor\s*:[^\n]*", 1)
+    found = F.regexp_like(s, F.lit(r"(?imud)^källor\s*:"))
     tail = F.substring(s, F.length(head) + 1, F.length(s))
     placed = F.concat(strip(F.concat(rstrip(head), F.lit("\n\n"), n, F.lit("\n\n"), F.regexp_replace(tail, rf"^{WS}+", ""))), F.lit("\n"))
     return F.when((s == "") | (n == ""), s).when(found, placed).otherwise(F.concat(s, F.lit("\n\n"), n, F.lit("\n")))
@@ -261,23 +261,33 @@ def coverage_ratio(total: Column, included: Column) -> Column:
     return F.when(F.length(text(total)) == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)))
 
 
+# What an echoed template looks like.
+PLACEHOLDER = r"(\[[^\]\n]{3,120}\])"
+LABEL = r"(?imud)^(?:rubrik|ingress|brödtext)\s*:\s*(.+)$"
+STOCK_PHRASE = "reviderad sammanfattning"
+# Names of verdicts, and how short a rewrite may be.
+EMPTY, NO_PREVIOUS, TEMPLATE, TRUNCATED, NO_HEADINGS, ACCEPTED = "empty_response", "accepted_no_previous_text", "placeholder_template", "extreme_truncation", "missing_section_headings", "accepted"
+BY_RATIO, LARGE_LOSS, DELETED = "accepted_ratio", "blocked_large_loss_without_delete_ops", "accepted_delete_justified"
+LEAST_REWRITE, LEAST_SHARE = 200, 0.35
+
+
 def placeholder_template(c: Column) -> Column:
     """Whether a model echoed a template: 3 bracketed placeholders, 2 labels with one, or the stock phrase with one."""
     s = strip(c)
-    hits = F.size(F.regexp_extract_all(s, F.lit(r"(\[[^\]\n]{3,120}\])"), 1))
-    labels = F.size(F.filter(F.regexp_extract_all(s, F.lit(r"(?im)^(?:rubrik|ingress|brödtext)\s*:\s*(.+)$"), 1), lambda v: v.contains("[") & v.contains("]")))
-    return (s != "") & ((hits >= 3) | (labels >= 2) | (F.lower(s).contains("reviderad sammanfattning") & (hits >= 1)))
+    hits = F.size(F.regexp_extract_all(s, F.lit(PLACEHOLDER), 1))
+    labels = F.size(F.filter(F.regexp_extract_all(s, F.lit(LABEL), 1), lambda v: v.contains("[") & v.contains("]")))
+    return (s != "") & ((hits >= 3) | (labels >= 2) | (F.lower(s).contains(STOCK_PHRASE) & (hits >= 1)))
 
 
 def rewrite_verdict(previous: Column, new: Column) -> Column:
     p, n = strip(previous), strip(new)
     return (
-        F.when(n == "", "empty_response")
-        .when(p == "", "accepted_no_previous_text")
-        .when(placeholder_template(n), "placeholder_template")
-        .when(F.length(n) < F.greatest(F.lit(200), F.floor(F.length(p) * F.lit(0.35))), "extreme_truncation")
-        .when(p.contains("## ") & ~n.contains("## "), "missing_section_headings")
-        .otherwise("accepted")
+        F.when(n == "", EMPTY)
+        .when(p == "", NO_PREVIOUS)
+        .when(placeholder_template(n), TEMPLATE)
+        .when(F.length(n) < F.greatest(F.lit(LEAST_REWRITE), F.floor(F.length(p) * F.lit(LEAST_SHARE))), TRUNCATED)
+        .when(p.contains("## ") & ~n.contains("## "), NO_HEADINGS)
+        .otherwise(ACCEPTED)
     )
 
 
@@ -286,10 +296,10 @@ def retention(previous_chars: Column, candidate_chars: Column, deleted_chars: Co
     ratio = F.when(previous_chars <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(candidate_chars.cast("double"), previous_chars.cast("double")))))
     lost = F.greatest(F.lit(0), previous_chars - candidate_chars)
     reason = (
-        F.when(previous_chars <= 0, "accepted_no_previous_text")
-        .when(ratio >= least, "accepted_ratio")
-        .when(F.coalesce(deleted_chars, F.lit(0)) < F.floor(lost * F.lit(0.5)), "blocked_large_loss_without_delete_ops")
-        .otherwise("accepted_delete_justified")
+        F.when(previous_chars <= 0, NO_PREVIOUS)
+        .when(ratio >= least, BY_RATIO)
+        .when(F.coalesce(deleted_chars, F.lit(0)) < F.floor(lost * F.lit(0.5)), LARGE_LOSS)
+        .otherwise(DELETED)
     )
     return ratio, reason
 

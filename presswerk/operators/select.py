@@ -93,10 +93,23 @@ def category_filter(entries: DataFrame, feeds: DataFrame) -> DataFrame:
     return entries.join(own, "feed", "left").where(passes_categories(F.col("categories"), F.col("category_include"), F.col("category_exclude"))).drop("category_include", "category_exclude")
 
 
-def decimate(rows: DataFrame, every: int, order: str) -> DataFrame:
+def numbered(rows: DataFrame, time: str, *ties: str, into: str = "rank", slot: int = 3600) -> DataFrame:
+    """Adds the place of each row, the newest first, without one task for all rows.
+
+    Rows are ranked within slots of time; what newer slots hold is added from
+    their counts, which are as few as there are slots.
+    """
+    own = rows.withColumn("__slot", F.floor(F.col(time) / slot))
+    newer = Window.orderBy(F.desc("__slot")).rowsBetween(Window.unboundedPreceding, -1)
+    before = own.groupBy("__slot").agg(F.count("*").alias("__n")).select("__slot", F.coalesce(F.sum("__n").over(newer), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__slot").orderBy(F.desc(time), *ties))
+    ranked = own.withColumn(into, inside).join(before, own["__slot"].eqNullSafe(before["__slot"])).drop(before["__slot"])
+    return ranked.withColumn(into, (F.col("__before") + F.col(into)).cast("long")).drop("__slot", "__before")
+
+
+def decimate(rows: DataFrame, every: int, time: str, *ties: str) -> DataFrame:
     """Every ``every``-th row, the newest first."""
-    ranked = rows.withColumn("__rn", F.row_number().over(Window.orderBy(F.desc(order))))
-    return ranked.where((F.col("__rn") - 1) % every == 0).drop("__rn")
+    return numbered(rows, time, *ties, into="__rn").where((F.col("__rn") - 1) % every == 0).drop("__rn")
 
 
 def snapshots(articles: DataFrame, *by: str) -> DataFrame:

@@ -16,6 +16,7 @@ SINCE = NOW - 14 * DAY
 SOURCES = ["src0", "src3", "src5", "src8"]
 _IN = ", ".join(f"'{s}'" for s in SOURCES)
 _TOPIC = """topics as (select a.*, coalesce(f.topics[1], 'Okategoriserat') as topic from articles a left join feeds f on f.name = a.source)"""
+_S = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 _STRIPPED = r"length(regexp_replace(text, '^\s+|\s+$', '', 'g'))"
 _EST = f"(case when {_STRIPPED} <= 6000 then {_STRIPPED} else 6001 end + length(title) + length(url) + 200)::int"
 _ORDERED = f"""sel as (select * from topics where eff_ts >= {SINCE}),
@@ -244,8 +245,22 @@ def long_enough(spark, d):
     return views.table(spark, d, "documents").where(F.length(fn.strip(F.col("text"))) >= 200).select("doc_id")
 
 
-@query(with_views("summaries") + "select id, created from (select *, row_number() over (order by created desc, id) as rn from summaries) where (rn - 1) % 3 = 0 and rn <= 600")
+@query(with_views("summaries") + "select id, created from (select *, row_number() over (order by created desc, id) as rn from summaries) where (rn - 1) % 3 = 0")
 def decimate_summaries(spark, d):
-    s = views.summaries(spark, d).orderBy(F.desc("created"), "id").limit(600)
-    ranked = s.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("created"), "id")))
-    return sel.decimate(ranked.withColumn("neg", -F.col("rn")), 3, "neg").select("id", "created")
+    return sel.decimate(views.summaries(spark, d), 3, "created", "id").select("id", "created")
+
+
+@query(_PLAN + rf"""select topic, batch_id, 'Batch ' || batch_id || ' of ' || max(batch_id) over (partition by topic) || ':' || chr(10) || corpus as prompt from (
+  select topic, batch_id, string_agg('[' || rn || '] ' || title || ' (' || source || ') ' || url || case when body = '' then '' else chr(10) || body end, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rn) as corpus from (
+    select p.topic, p.batch_id, row_number() over (partition by p.topic, p.batch_id order by p.ord) as rn, title, source, url, case when length({_S}) <= 6000 then {_S} else {_S}[:6000] || '…' end as body
+    from p join articles a on a.id = p.id) group by all)""")
+def batch_prompt(spark, d):
+    """The prompt of every batch, with its number and how many its topic has."""
+    rows = packed(spark, d).join(views.articles(spark, d).select("id", "title", "source", "url", fn.clip(F.col("text"), 6000).alias("body")), "id")
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("topic", "batch_id").orderBy("ord")))
+    block = fn.article_block(F.col("rn"), F.col("title"), F.col("source"), F.col("url"), F.col("body"))
+    g = rows.groupBy("topic", "batch_id").agg(F.array_sort(F.collect_list(F.struct("rn", block.alias("b")))).alias("x"))
+    total = F.max("batch_id").over(Window.partitionBy("topic"))
+    corpus = F.array_join(F.transform("x", lambda x: x["b"]), "\n\n---\n\n")
+    prompt = fn.render(F.lit("Batch {batch_index} of {batch_total}:\n{articles_corpus}"), batch_index=F.col("batch_id").cast("string"), batch_total=total.cast("string"), articles_corpus=corpus)
+    return g.select("topic", "batch_id", prompt.alias("prompt"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presswerk.functions import text as fn
-from presswerk.operators import select as sel
 from presswerk.plans import digest, views
 from presswerk.plans.chat import ExtractiveModel
 from presswerk.plans.query_articles import _PLAN, SINCE, topical
@@ -15,11 +14,6 @@ from presswerk.sources import ingest
 from presswerk.streaming.ingest import windowed_counts
 
 
-@query("select page_id, starts_with(html, '<!DOCTYPE') as doctype from pages")
-def html_pages(spark, d):
-    return views.table(spark, d, "pages").select("page_id", F.col("html").startswith("<!DOCTYPE").alias("doctype"))
-
-
 @query()
 def article_text(spark, d):
     return ingest.extract_text(views.table(spark, d, "pages").select("page_id", "html")).select("page_id", "text")
@@ -59,8 +53,3 @@ def fetch_candidates(spark, d):
     feeds = views.feeds(spark, d)
     e = views.entries(spark, d).withColumn("categories", F.transform("tags", fn.norm_category)).withColumn("published", F.lit(None).cast("string"))
     return ingest.candidates(e, feeds, now=views.NOW, lookback="10d").select("feed", "pos", "link")
-
-
-@query(_PLAN + "select topic, ord, id from o where ord <= 20")
-def first_articles_of_topics(spark, d):
-    return sel.interleave(topical(spark, d).where(F.col("eff_ts") >= SINCE).drop("text"), "topic").where("ord <= 20").select("topic", "ord", "id")

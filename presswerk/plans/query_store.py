@@ -87,12 +87,11 @@ def latest_summary(spark, d):
     return st.newest(views.summaries(spark, d), "created", 1).select("id", "created")
 
 
-@query(_SUM + "select id, created, row_number() over (order by created desc, id)::int as rank from summaries order by created desc, id limit 500")
+@query(_SUM + "select id, created, row_number() over (order by created desc, id) as rank from summaries")
 def summaries_newest(spark, d):
-    from pyspark.sql import Window
+    from presswerk.operators.select import numbered
 
-    top = st.newest(views.summaries(spark, d), "created", 500)
-    return top.select("id", "created", F.row_number().over(Window.orderBy(F.desc("created"), "id")).alias("rank"))
+    return numbered(views.summaries(spark, d), "created", "id").select("id", "created", "rank")
 
 
 @query(_SUM + "select id, created, class from summaries where id = 'sum_42'")

@@ -133,13 +133,18 @@ def title_default(spark, d):
     return t.select("event_id", fn.default_title(F.lit("1w"), F.col("s"), end).alias("title"))
 
 
-_LINE = rf"regexp_extract({_S}, '^([^\n\r]*)', 1)"
+def _trimmed(expr: str, mark: str) -> str:
+    return f"regexp_replace({expr}, '^{mark}+|{mark}+$', '', 'g')"
 
 
-@query(rf"select doc_id, case when length({_LINE}) > 120 then regexp_replace({_LINE}[:120], '\s+$', '') || '…' else {_LINE} end as title from documents where {_LINE} <> '' and not regexp_matches({_LINE}, '^[\s\"'']|[\s\"'']$')")
+_LINE = rf"regexp_extract(chr(34) || {_S}, '^([^\n\r]*)', 1)"
+for _mark in (r"\s", '"', "''", r"\s"):
+    _LINE = _trimmed(_LINE, _mark)
+
+
+@query(rf"select doc_id, case when line = '' then 'none' when length(line) > 120 then regexp_replace(line[:120], '\s+$', '') || '…' else line end as title from (select doc_id, {_LINE} as line from documents)")
 def title_clean(spark, d):
-    rows = docs(spark, d).where(~F.regexp_extract(fn.strip(F.col("text")), r"^([^\n\r]*)", 1).rlike("^[\\s\"']|[\\s\"']$") & (F.regexp_extract(fn.strip(F.col("text")), r"^([^\n\r]*)", 1) != ""))
-    return rows.select("doc_id", fn.clean_title(F.concat(F.lit('  "'), fn.strip(F.col("text"))), F.lit("none")).alias("title"))
+    return docs(spark, d).select("doc_id", fn.clean_title(F.concat(F.lit('  "'), fn.strip(F.col("text"))), F.lit("none")).alias("title"))
 
 
 @query(with_views("articles") + f"select id, '[' || pos || '] ' || title || ' (' || source || ') ' || url || chr(10) || {_S} as block from articles")
@@ -148,18 +153,6 @@ def compact_block(spark, d):
     return a.select("id", fn.article_block(F.col("pos"), F.col("title"), F.col("source"), F.col("url"), F.col("text")).alias("block"))
 
 
-@query(with_views("articles") + rf"""select source, 'Batch 1 of 1:' || chr(10) || string_agg('[' || rn || '] ' || title || ' (' || source || ') ' || url || chr(10) || {_S}, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rn) as prompt
-from (select *, row_number() over (partition by source order by pos) as rn from articles) where rn <= 5 group by source""")
-def batch_prompt(spark, d):
-    from pyspark.sql import Window
-
-    a = views.articles(spark, d).withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("pos"))).where("rn <= 5")
-    block = fn.article_block(F.col("rn"), F.col("title"), F.col("source"), F.col("url"), F.col("text"))
-    g = a.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("rn", block.alias("b")))).alias("x"))
-    corpus = F.array_join(F.transform("x", lambda x: x["b"]), "\n\n---\n\n")
-    return g.select("source", fn.render(F.lit("Batch {batch_index} of {batch_total}:\n{articles_corpus}"), batch_index=F.lit("1"), batch_total=F.lit("1"), articles_corpus=corpus).alias("prompt"))
-
-
 @query(rf"""select conv_id, 'Intro' || chr(10) || chr(10) || string_agg('## ' || role || turn || chr(10) || chr(10) || {_S}, chr(10) || chr(10) order by turn, role, text) as t from conversations where {_S} <> '' group by conv_id""")
 def composed_text(spark, d):
     m = views.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("s"))
@@ -172,18 +165,25 @@ def prepend_ingress(spark, d):
     return docs(spark, d).select("doc_id", fn.prepend_ingress(F.col("text"), F.lit("Intro ")).alias("t"))
 
 
-@query(r"select doc_id, case when doc_id % 3 = 0 then regexp_replace(text, '\s+$', '') when doc_id % 3 = 1 then '' else regexp_replace(text, '\s+$', '') end as t from documents where strpos(text, '## Källor') = 0")
+_HEAD = "'## Källor' || chr(10)"
+_FULL = f"regexp_replace(case doc_id % 3 when 0 then text || chr(10) || {_HEAD} || chr(10) || '- a' || chr(10) when 1 then {_HEAD} || text else text end, '\\s+$', '')"
+
+
+@query(rf"""with s as (select doc_id, {_FULL} as s from documents where text is not null), p as (select *, strpos(s, chr(10) || {_HEAD}) as p from s)
+select doc_id, case when p > 0 then regexp_replace(s[:p - 1], '\s+$', '') when starts_with(s, {_HEAD}) then '' else s end as t from p""")
 def strip_appendix(spark, d):
     k = F.col("doc_id") % 3
     full = F.when(k == 0, F.concat("text", F.lit("\n## Källor\n\n- a\n"))).when(k == 1, F.concat(F.lit("## Källor\n"), "text")).otherwise(F.col("text"))
-    return docs(spark, d).where(~F.col("text").contains("## Källor")).select("doc_id", fn.strip_appendix(full).alias("t"))
+    return docs(spark, d).where("text is not null").select("doc_id", fn.strip_appendix(full).alias("t"))
 
 
-@query(rf"select doc_id, case when doc_id % 2 = 0 then {_S} || chr(10) || chr(10) || 'Note' || chr(10) || chr(10) || 'Källor: x' || chr(10) else {_S} || chr(10) || chr(10) || 'Note' || chr(10) end as t from documents where {_S} <> '' and not regexp_matches(lower(text), 'källor')")
+@query(rf"""with s as (select doc_id, regexp_replace(case when doc_id % 2 = 0 then text || chr(10) || 'Källor: x' else text end, '^\s+|\s+$', '', 'g') as s from documents where text is not null),
+h as (select *, regexp_extract(s, '(?is)^(.*(?:^|\n))källor\s*:[^\n]*', 1) as head, regexp_matches(s, '(?im)^källor\s*:') as found from s)
+select doc_id, case when s = '' then '' when found then regexp_replace(regexp_replace(head, '\s+$', '') || chr(10) || chr(10) || 'Note' || chr(10) || chr(10) || regexp_replace(s[length(head) + 1:], '^\s+', ''), '^\s+|\s+$', '', 'g') || chr(10)
+  else s || chr(10) || chr(10) || 'Note' || chr(10) end as t from h""")
 def note_before_sources(spark, d):
-    rows = docs(spark, d).where((fn.strip(F.col("text")) != "") & ~F.lower("text").contains("källor"))
     full = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\nKällor: x"))).otherwise(F.col("text"))
-    return rows.select("doc_id", fn.note_before_sources(full, F.lit(" Note ")).alias("t"))
+    return docs(spark, d).where("text is not null").select("doc_id", fn.note_before_sources(full, F.lit(" Note ")).alias("t"))
 
 
 _C = rf"regexp_replace({_S}, '\s+', ' ', 'g')"
@@ -199,24 +199,30 @@ def coverage_ratio(spark, d):
     return docs(spark, d).select("doc_id", F.round(fn.coverage_ratio(F.col("text"), F.substring("text", 1, 500)), 6).alias("r"))
 
 
-@query("select doc_id, case doc_id % 4 when 0 then doc_id % 8 = 0 when 1 then true when 2 then true else false end as p from documents where not regexp_matches(text, '[\\[\\]]')")
-def placeholder_detector(spark, d):
-    k = F.col("doc_id") % 4
-    t = F.when(k == 0, F.when(F.col("doc_id") % 8 == 0, "x [abc] [def] y [ghi]").otherwise("[abc] [de] [ghi]")).when(k == 1, "Rubrik: [a]\nIngress: [bcd]\n").when(k == 2, "Reviderad Sammanfattning: [här]").otherwise(F.col("text"))
-    return docs(spark, d).where(~F.col("text").rlike(r"[\[\]]")).select("doc_id", fn.placeholder_template(t).alias("p"))
+def _template(s: str) -> str:
+    """SQL of ``placeholder_template`` on a stripped text."""
+    hits = rf"len(regexp_extract_all({s}, '(\[[^\]\n]{{3,120}}\])', 1))"
+    labels = rf"len(list_filter(regexp_extract_all({s}, '(?im)^(?:rubrik|ingress|brödtext)\s*:\s*(.+)$', 1), lambda v: contains(v, '[') and contains(v, ']')))"
+    return f"({s} <> '' and ({hits} >= 3 or {labels} >= 2 or (contains(lower({s}), 'reviderad sammanfattning') and {hits} >= 1)))"
 
 
-_P = "length(prev)"
+@query(rf"""with s as (select doc_id, regexp_replace(text || case doc_id % 4 when 0 then ' x [abc] [de' || chr(10) || '] y' when 1 then chr(10) || 'Rubrik: [a]' || chr(10) || 'Ingress: [bcd]' when 2 then ' Reviderad Sammanfattning: [här]' else '' end, '^\s+|\s+$', '', 'g') as s from documents where text is not null)
+select doc_id, {_template("s")} as p from s""")
+def placeholder_detector(spark, d):
+    k = F.col("doc_id") % 4
+    more = F.when(k == 0, " x [abc] [de\n] y").when(k == 1, "\nRubrik: [a]\nIngress: [bcd]").when(k == 2, " Reviderad Sammanfattning: [här]").otherwise("")
+    return docs(spark, d).where("text is not null").select("doc_id", fn.placeholder_template(F.concat("text", more)).alias("p"))
 
 
-@query(rf"""with r as (select doc_id, case when doc_id % 7 = 1 then '' else {_S} end as prev, case when doc_id % 7 = 0 then '' when doc_id % 7 = 2 then '[abc] [def] [ghi]' when doc_id % 7 = 3 then {_S}[:length({_S}) // 3] else {_S} end as new, doc_id % 7 = 4 as headed from documents where not regexp_matches(text, '[\[\]]|## ')),
-s as (select doc_id, headed, case when headed then '## a' || chr(10) || prev else prev end as prev, regexp_replace(new, '^\s+|\s+$', '', 'g') as new from r)
-select doc_id, case when new = '' then 'empty_response' when prev = '' then 'accepted_no_previous_text' when doc_id % 7 = 2 then 'placeholder_template' when length(new) < greatest(200, floor(length(prev) * 0.35::double)) then 'extreme_truncation' when headed then 'missing_section_headings' else 'accepted' end as verdict from s""")
+@query(rf"""with r as (select doc_id, case when doc_id % 7 = 1 then '' else {_S} end as prev, case doc_id % 7 when 0 then '' when 2 then {_S} || ' [abc] [def] [ghi]' when 3 then {_S}[:length({_S}) // 3] else {_S} end as new, doc_id % 7 = 4 as headed from documents),
+s as (select doc_id, regexp_replace(case when headed then '## a' || chr(10) || prev else prev end, '^\s+|\s+$', '', 'g') as prev, regexp_replace(new, '^\s+|\s+$', '', 'g') as new from r)
+select doc_id, case when new = '' then 'empty_response' when prev = '' then 'accepted_no_previous_text' when {_template("new")} then 'placeholder_template' when length(new) < greatest(200, floor(length(prev) * 0.35::double)) then 'extreme_truncation'
+  when contains(prev, '## ') and not contains(new, '## ') then 'missing_section_headings' else 'accepted' end as verdict from s""")
 def rewrite_validator(spark, d):
     k, s = F.col("doc_id") % 7, fn.strip(F.col("text"))
     prev = F.when(k == 1, "").when(k == 4, F.concat(F.lit("## a\n"), s)).otherwise(s)
-    new = F.when(k == 0, "").when(k == 2, "[abc] [def] [ghi]").when(k == 3, F.substring(s, F.lit(1), F.floor(F.length(s) / 3).cast("int"))).otherwise(s)
-    return docs(spark, d).where(~F.col("text").rlike(r"[\[\]]|## ")).select("doc_id", fn.rewrite_verdict(prev, new).alias("verdict"))
+    new = F.when(k == 0, "").when(k == 2, F.concat(s, F.lit(" [abc] [def] [ghi]"))).when(k == 3, F.substring(s, F.lit(1), F.floor(F.length(s) / 3).cast("int"))).otherwise(s)
+    return docs(spark, d).select("doc_id", fn.rewrite_verdict(prev, new).alias("verdict"))
 
 
 @query("""with r as (select doc_id, length(text) as p, length(text) * (doc_id % 11) // 10 as c, length(text) * (doc_id % 7) // 10 as x from documents)
@@ -228,19 +234,18 @@ def retention_guard(spark, d):
     return docs(spark, d).select("doc_id", F.round(ratio, 6).alias("ratio"), reason.alias("reason"))
 
 
-_FIRST = "regexp_extract(text, '^[^\\s]+', 0)"
-
-
-@query(rf"""with b as (select doc_id, 'alpha beta gamma' as t, doc_id % 4 as k from documents)
-select doc_id, case k when 0 then 'ALPHA beta gamma' when 1 then 'alpha  gamma' when 2 then 'alpha betaX gamma' else 'alpha beta gamma' end as text,
- case when k = 3 then 0 else 1 end as applied, case when k = 3 then 3 else 2 end as skipped, case when k = 1 then 4 else 0 end as deleted_chars from b""")
+@query(rf"""with b as (select doc_id, coalesce(text, '') as t, regexp_extract(coalesce(text, ''), '[A-Za-z]+', 0) as w, doc_id % 4 as k from documents),
+c as (select *, strpos(t, w) as spot, k < 3 and w <> '' as fits from b)
+select doc_id, sha256(regexp_replace(case when not fits then t else t[:spot - 1] || case k when 0 then 'NEW' when 1 then '' else w || 'X' end || t[spot + length(w):] end, '^\s+|\s+$', '', 'g')) as h,
+ fits::int as applied, 3 - fits::int as skipped, case when fits and k = 1 then length(w) else 0 end::int as deleted_chars from c""")
 def apply_operations(spark, d):
-    k = F.col("doc_id") % 4
-    op = lambda o, t, x: F.struct(F.lit(o).alias("op"), F.lit("").alias("issue_id"), F.lit(t).alias("target_quote"), F.lit(x).alias("text"))
-    first = F.when(k == 0, op("replace", "alpha", "ALPHA")).when(k == 1, op("delete", "beta", "")).when(k == 2, op("insert_after", "beta", "X")).otherwise(op("insert_after", "beta", ""))
-    ops = F.array(first, op("replace", "missing", "y"), op("delete", "", ""))
-    r = docs(spark, d).select("doc_id", fn.apply_operations(F.lit("alpha beta gamma"), ops).alias("r"))
-    return r.select("doc_id", "r.*")
+    """Edits of whole texts: the first word is replaced, deleted or added to; a missing and an empty target are skipped."""
+    k, word = F.col("doc_id") % 4, F.regexp_extract(fn.text(F.col("text")), "[A-Za-z]+", 0)
+    op = lambda o, t, x: F.struct(F.lit(o).alias("op"), F.lit("").alias("issue_id"), t.alias("target_quote"), F.lit(x).alias("text"))
+    first = F.when(k == 0, op("replace", word, "NEW")).when(k == 1, op("delete", word, "")).when(k == 2, op("insert_after", word, "X")).otherwise(op("insert_after", word, ""))
+    ops = F.array(first, op("replace", F.lit("\x01 missing \x01"), "y"), op("delete", F.lit(""), ""))
+    r = docs(spark, d).select("doc_id", fn.apply_operations(F.col("text"), ops).alias("r"))
+    return r.select("doc_id", F.sha2("r.text", 256).alias("h"), "r.applied", "r.skipped", "r.deleted_chars")
 
 
 @query("select doc_id, case doc_id % 3 when 0 then 'delete' when 1 then 'replace' else 'insert_after' end as op, case when doc_id % 2 = 0 then 'issue_1' else 'i' || doc_id end as issue_id, 'q' as target_quote, 'new' as text from documents")
