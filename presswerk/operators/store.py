@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,15 +89,38 @@ def expired_temp(now: int, days: int) -> Column:
     return F.coalesce("created_at", F.lit(0)) < now - days * 86400
 
 
-class Store:
-    """Tables in folders ``root/<table>/v=<n>``; the newest complete version is the table.
+def bucket_of(key: Column, count: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+
+
+def _read_json(value):
+    """A mapping or list that is kept as JSON; other values as they are."""
+    try:
+        return json.loads(value) if str(value)[:1] in "{[" else value
+    except ValueError:
+        return value
+
+
+class Conflict(RuntimeError):
+    """Another writer holds the table."""
+
 
-    A write makes a new version beside the old one and becomes visible when
-    Spark's commit marker is there, so that a read never sees half a write and a
-    table can be read while its next version is written.  Versions that nobody
-    needs are dropped by ``vacuum``.
+class Store:
+    """Tables in folders ``root/<table>/v=<n>``; the newest version with a manifest is the table.
+
+    A version holds the buckets that its write touched; its manifest says in
+    which version each bucket is.  The manifest is written last, so that a read
+    never sees half a write and a table can be read while its next version is
+    written.  A writer first claims the next number by creating a file, which
+    succeeds once; others wait until the version is there, or the claim is so old
+    that its writer must be gone.  Rows are appended as files of the newest
+    version, without a rewrite.  Versions that nobody needs are dropped by
+    ``vacuum``.
     """
 
+    #: Seconds after which a claim without a version is void, and between tries.
+    STALE, PAUSE = 3600, 0.2
+
     def __init__(self, spark: SparkSession, root: str, *, mode: str = "replace"):
         if mode not in ("replace", "merge"):
             raise ValueError("mode is replace or merge")
@@ -104,29 +130,102 @@ class Store:
     def _fs(self, path: str):
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p, jvm
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _names(self, path: str) -> dict[str, int]:
+        """Names in a folder, with their times in ms."""
+        fs, p = self._fs(path)
+        return {x.getPath().getName(): x.getModificationTime() for x in fs.listStatus(p)} if fs.exists(p) else {}
 
     def versions(self, name: str) -> list[int]:
-        fs, p, jvm = self._fs(f"{self.root}/{name}")
-        if not fs.exists(p):
-            return []
-        found = [s.getPath() for s in fs.listStatus(p)]
-        return sorted(int(x.getName()[2:]) for x in found if x.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+        return sorted(int(x[9:]) for x in self._names(f"{self.root}/{name}") if x.startswith("_manifest") and x[9:].isdigit())
 
-    def read(self, name: str) -> DataFrame:
+    def manifest(self, name: str, version: int | None = None) -> dict[int, int]:
+        """The version that holds each bucket."""
         have = self.versions(name)
+        if not have:
+            return {}
+        fs, p = self._fs(f"{self.root}/{name}/_manifest{have[-1] if version is None else version}")
+        stream = fs.open(p)
+        try:
+            return {int(k): v for k, v in json.loads(bytes(stream.readAllBytes()).decode()).items()}
+        finally:
+            stream.close()
+
+    def _write_text(self, path: str, value: str) -> None:
+        """Creates a file; it appears under its name when it is complete."""
+        fs, draft = self._fs(f"{path}.{uuid.uuid4().hex}.tmp")
+        stream = fs.create(draft, True)
+        stream.write(value.encode())
+        stream.close()
+        if not fs.rename(draft, self._fs(path)[1]):
+            raise Conflict(path)
+
+    def _claim(self, name: str, tries: int) -> int:
+        """The number of the next version, which no other writer has."""
+        for k in range(tries):
+            names, now = self._names(f"{self.root}/{name}"), time.time() * 1000
+            have = self.versions(name)
+            claims = {int(x[6:]): at for x, at in names.items() if x.startswith("_claim") and x[6:].isdigit()}
+            if all(n in have or now - at > self.STALE * 1000 for n, at in claims.items()):
+                fs, p = self._fs(f"{self.root}/{name}/_claim{max([0, *have, *claims]) + 1}")
+                try:
+                    if fs.createNewFile(p):
+                        return max([0, *have, *claims]) + 1
+                except Py4JJavaError:  # some file systems raise where the file is there
+                    pass
+            if k + 1 < tries:
+                time.sleep(self.PAUSE)
+        raise Conflict(f"another writer holds {name}")
+
+    def _rows(self, name: str, held: dict[int, int]) -> DataFrame:
         kind = schema.ddl(schema.TABLES[name])
-        return self.spark.read.schema(kind).parquet(f"{self.root}/{name}/v={have[-1]}") if have else self.spark.createDataFrame([], kind)
+        paths = [f"{self.root}/{name}/v={v}/bucket={b}" for b, v in sorted(held.items())]
+        paths = [x for x in paths if (lambda fs, p: fs.exists(p))(*self._fs(x))]
+        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+
+    def read(self, name: str) -> DataFrame:
+        return self._rows(name, self.manifest(name))
+
+    def _put(self, name: str, df: DataFrame, version: int, buckets: list[int], mode: str) -> None:
+        kind, (key, count) = schema.TABLES[name], schema.BUCKETS.get(name, (None, 1))
+        bucket = bucket_of(F.col(key), count) if key else F.lit(0)
+        rows = df.select(*[(F.col(f"`{f}`") if f in df.columns else F.lit(None)).cast(t).alias(f) for f, t in kind.items()], bucket.alias("bucket"))
+        rows = rows.repartition("bucket") if key else rows
+        rows.write.mode(mode).partitionBy("bucket").parquet(f"{self.root}/{name}/v={version}")
+
+    def update(self, name: str, change: Callable[[DataFrame], DataFrame], *, buckets: list[int] | None = None, tries: int = 600) -> None:
+        """A new version: ``change`` of the table, or of the rows in some of its buckets, while other writers wait."""
+        number = self._claim(name, tries)
+        try:
+            held = self.manifest(name)
+            count = schema.BUCKETS.get(name, (None, 1))[1]
+            touched = list(range(count)) if buckets is None else buckets
+            self._put(name, change(self._rows(name, {b: v for b, v in held.items() if b in set(touched)})), number, touched, "overwrite")
+            self._write_text(f"{self.root}/{name}/_manifest{number}", json.dumps(held | dict.fromkeys(touched, number)))
+        except BaseException:
+            fs, p = self._fs(f"{self.root}/{name}/_claim{number}")
+            fs.delete(p, False)
+            raise
 
     def write(self, name: str, df: DataFrame) -> None:
-        have, kind = self.versions(name), schema.TABLES[name]
-        rows = df.select(*[(F.col(f"`{f}`") if f in df.columns else F.lit(None)).cast(t).alias(f) for f, t in kind.items()])
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v={(have[-1] if have else 0) + 1}")
+        self.update(name, lambda _: df)
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """Adds rows to a table without a key, as further files of its newest version."""
+        if not self.versions(name):
+            self.update(name, lambda old: old)
+        self._put(name, df, self.manifest(name)[0], [0], "append")
 
     def vacuum(self, name: str, keep: int = 2) -> None:
-        for v in self.versions(name)[:-keep]:
-            fs, p, _ = self._fs(f"{self.root}/{name}/v={v}")
-            fs.delete(p, True)
+        """Drops the versions that the newest ``keep`` manifests do not refer to."""
+        have = self.versions(name)
+        needed = {v for n in have[-keep:] for v in self.manifest(name, n).values()} | set(have[-keep:])
+        for n in have:
+            for x, own in ((f"v={n}", n in needed), (f"_manifest{n}", n in have[-keep:]), (f"_claim{n}", n in have[-keep:])):
+                if not own:
+                    fs, p = self._fs(f"{self.root}/{name}/{x}")
+                    fs.delete(p, True)
 
     # -- articles --------------------------------------------------------
     def articles(self) -> DataFrame:
@@ -140,31 +239,54 @@ class Store:
     def upsert_articles(self, new: DataFrame) -> dict[str, int]:
         """Change-detecting upsert; gives the counts of inserted and updated articles.
 
-        Two ids with one non-empty url are refused, as the url is unique.
+        Two ids with one non-empty url are refused, as the url is unique.  Only
+        the buckets of changed ids are written anew, and only the urls of new
+        rows are looked for.
         """
-        stored = self.read("articles")
         rows = new if "seq" in new.columns else new.withColumn("seq", F.lit(0))
-        todo = change_actions(stored, rows).where("action <> 'unchanged'")
-        counts = {r["action"]: r["count"] for r in todo.groupBy("action").count().collect()}
-        if counts:
-            after = upsert(stored, todo.drop("action"), mode=self.mode)
-            clash = after.where(text(F.col("url")) != "").groupBy("url").count().where("count > 1").limit(1).collect()
-            if clash:
-                raise ValueError(f"url {clash[0]['url']} belongs to two ids")
-            self.write("articles", after)
+        todo = change_actions(self.read("articles").select("id", "content_hash"), rows).where("action <> 'unchanged'").persist()
+        try:
+            counts = {r["action"]: r["n"] for r in todo.groupBy("action").agg(F.count_distinct("id").alias("n")).collect()}
+            if counts:
+                key, count = schema.BUCKETS["articles"]
+                fresh = todo.drop("action")
+                self._refuse_shared_urls(latest(fresh, ["id"], "seq"))
+                touched = sorted(r[0] for r in todo.select(bucket_of(F.col(key), count)).distinct().collect())
+                self.update("articles", lambda old: upsert(old, fresh, mode=self.mode), buckets=touched)
+        finally:
+            todo.unpersist()
         return {"inserted": counts.get("insert", 0), "updated": counts.get("update", 0)}
 
+    def _refuse_shared_urls(self, fresh: DataFrame) -> None:
+        own = fresh.where(text(F.col("url")) != "").select("id", "url")
+        others = self.read("articles").select("id", "url").join(own.select("id"), "id", "left_anti").join(own.select("url"), "url", "left_semi")
+        clash = own.unionByName(others).groupBy("url").agg(F.count_distinct("id").alias("n")).where("n > 1").limit(1).collect()
+        if clash:
+            raise ValueError(f"url {clash[0]['url']} belongs to two ids")
+
     def mark_summarized(self, ids: DataFrame, now: int) -> None:
-        self.write("articles", mark_summarized(self.read("articles"), ids, now))
+        key, count = schema.BUCKETS["articles"]
+        known = ids.select("id").distinct()
+        touched = sorted(r[0] for r in known.select(bucket_of(F.col(key), count)).distinct().collect())
+        self.update("articles", lambda old: mark_summarized(old, known, now), buckets=touched)
 
     # -- jobs ------------------------------------------------------------
     def jobs(self) -> DataFrame:
         return fold_jobs(self.read("jobs"))
 
     def create_job(self, now: int) -> int:
-        top = self.read("jobs").agg(F.max("job_id")).first()[0] or 0
-        self._job_event(top + 1, created_at=now, status="queued", message="")
-        return top + 1
+        """A queued job under the next free id, which is claimed by a file, so that no two writers get the same."""
+        job = (self.read("jobs").agg(F.max("job_id")).first()[0] or 0) + 1
+        while True:
+            fs, p = self._fs(f"{self.root}/jobs/_ids/{job}")
+            try:
+                if fs.createNewFile(p):
+                    break
+            except Py4JJavaError:  # some file systems raise where the file is there
+                pass
+            job += 1
+        self._job_event(job, created_at=now, status="queued", message="")
+        return job
 
     def update_job(self, job_id: int, **fields) -> None:
         if job_id <= 0:
@@ -172,34 +294,36 @@ class Store:
         self._job_event(job_id, **fields)
 
     def _job_event(self, job_id: int, **fields) -> None:
-        import json
-
         known = {k: v for k, v in fields.items() if k in schema.JOB_EVENTS}
         extra = {k: v if isinstance(v, str) else json.dumps(v) for k, v in fields.items() if k not in known}
         row = {"job_id": job_id, "seq": time.time_ns(), **known, "fields_json": json.dumps(extra) if extra else None}
         event = self.spark.createDataFrame([tuple(row.get(f) for f in schema.JOB_EVENTS)], schema.ddl(schema.JOB_EVENTS))
-        self.write("jobs", self.read("jobs").unionByName(event))
+        self.append("jobs", event.coalesce(1))
 
     def get_job(self, job_id: int) -> dict | None:
-        """A job's fields with its extra ones flattened over them."""
-        import json
-
+        """A job's fields with its extra ones, of which JSON is read, flattened over them."""
         row = self.jobs().where(F.col("job_id") == job_id).first()
         if row is None:
             return None
         out = row.asDict()
-        return out | json.loads(out.pop("fields_json") or "{}") | {"id": job_id}
+        return out | {k: _read_json(v) for k, v in json.loads(out.pop("fields_json") or "{}").items()} | {"id": job_id}
+
+    def job_context(self, job_id: int) -> dict:
+        """What the job was asked for; empty if there is none."""
+        context = (self.get_job(job_id) or {}).get("context")
+        return context if isinstance(context, dict) else {}
 
     def list_jobs(self, limit: int = 200) -> DataFrame:
         return self.jobs().orderBy(F.desc(F.coalesce("created_at", F.lit(0))), F.desc("job_id")).limit(limit if limit > 0 else 200)
 
     # -- summaries -------------------------------------------------------
     def save_summary(self, doc: dict, now: int) -> str:
-        """Upserts a summary document; its id gets a number if another document has it."""
+        """Upserts a summary document by its id, with all of it as JSON beside its fields."""
         doc = {"created": now, "kind": "summary"} | doc
         doc.setdefault("id", f"summary_{doc['created']}_{uuid.uuid4().hex[:6]}")
+        doc.setdefault("doc_json", json.dumps(doc, ensure_ascii=False, default=str))
         row = self.spark.createDataFrame([tuple(doc.get(f) for f in schema.SUMMARIES)], schema.ddl(schema.SUMMARIES))
-        self.write("summary_docs", upsert(self.read("summary_docs"), row.withColumn("seq", F.lit(0))))
+        self.update("summary_docs", lambda old: upsert(old, row.withColumn("seq", F.lit(0))))
         return doc["id"]
 
     def get_summary(self, summary_id: str) -> DataFrame:
@@ -213,25 +337,34 @@ class Store:
 
     def save_temp_summary(self, job_id: int, summary: str, meta: str, now: int) -> None:
         row = self.spark.createDataFrame([(job_id, now, summary, meta)], schema.ddl(schema.TEMP_SUMMARIES)).withColumn("seq", F.lit(0))
-        self.write("temp_summaries", upsert(self.read("temp_summaries"), row, "job_id"))
+        self.update("temp_summaries", lambda old: upsert(old, row, "job_id"))
 
     def get_temp_summary(self, job_id: int) -> DataFrame:
         return self.read("temp_summaries").where(F.col("job_id") == job_id)
 
     # -- checkpoints -----------------------------------------------------
+    def save_corpus(self, rows: DataFrame, job: int) -> None:
+        """The articles of a job (article_id, ord, topic), instead of those that it had."""
+        own = rows.withColumn("job_id", F.lit(job).cast("long"))
+        self.update("corpus", lambda old: old.where(F.col("job_id") != job).unionByName(own.select(*old.columns)))
+
+    def load_corpus(self, job: int) -> DataFrame:
+        return self.read("corpus").where(F.col("job_id") == job)
+
     def save_checkpoint(self, rows: DataFrame, key: str) -> None:
-        old = self.read("checkpoints").where(F.col("key") != key)
-        self.write("checkpoints", old.unionByName(rows.withColumn("key", F.lit(key)), allowMissingColumns=True))
+        self.update("checkpoints", lambda old: old.where(F.col("key") != key).unionByName(rows.withColumn("key", F.lit(key)), allowMissingColumns=True))
 
     def load_checkpoint(self, key: str) -> DataFrame:
         return self.read("checkpoints").where(F.col("key") == key)
 
     def clear_checkpoint(self, key: str) -> None:
-        self.write("checkpoints", self.read("checkpoints").where(F.col("key") != key))
+        self.update("checkpoints", lambda old: old.where(F.col("key") != key))
 
     # -- retention -------------------------------------------------------
     def cleanup(self, policy: Retention, now: int) -> dict[str, int]:
-        """Drops expired rows; gives the number removed from each table."""
+        """Drops expired rows; gives the number removed from each table.  Job events that others append meanwhile may be lost, so it is for quiet times."""
+        from presswerk.operators.select import with_times
+
         removed = {}
         ended = self.jobs().where(expired_jobs(now, policy.jobs)).select("job_id")
         for name, rows, gone in (
@@ -241,10 +374,11 @@ class Store:
         ):
             removed[name] = rows.where(gone).count()
             if removed[name]:
-                self.write(name, rows.where(~F.coalesce(gone, F.lit(False))))
+                timed = with_times if name == "articles" else lambda x: x
+                self.update(name, lambda old, gone=gone, timed=timed: timed(old).where(~F.coalesce(gone, F.lit(False))))
         removed["jobs"] = ended.count()
         if removed["jobs"]:
-            self.write("jobs", self.read("jobs").join(ended, "job_id", "left_anti"))
+            self.update("jobs", lambda old: old.join(ended, "job_id", "left_anti"))
         return removed
 
 

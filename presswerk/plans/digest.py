@@ -2,26 +2,33 @@
 
 Everything up to the batches is one plan.  A topic's batches are summarised by
 one task, in order, because an article that overflows a batch moves to a later
-one; topics run side by side.
+one; topics run side by side.  A batch is read when its turn comes, and its
+summary is logged at once, so that neither a failed run nor a lost executor
+costs a call that was answered.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from itertools import chain, groupby
 
 import pandas as pd
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswerk.functions import text as fn
 from presswerk.operators import pack as pk
 from presswerk.operators import select as sel
-from presswerk.operators.budget import fill, fit_meta, retrying, tokens
+from presswerk.operators.budget import fill, fit_meta, retrying, tokens, trim_words
 from presswerk.operators.store import Store
 from presswerk.plans.chat import ChatModel, ExtractiveModel, PromptTooLong, guarded_chat
 from presswerk.plans.edit import proofread, title_prompt
+from presswerk.sources.packages import package_name, select_prompts
 
 DEFAULT_PROMPTS = {
     "batch_system": "Summarise the articles.",
@@ -50,6 +57,10 @@ class Settings:
     topics_at_once: int = 4
     lookback: str = ""
     prompts: dict[str, str] = field(default_factory=lambda: dict(DEFAULT_PROMPTS))
+    package: str = ""
+
+    def projection(self, *names: str) -> dict[str, str]:
+        return {name: str(getattr(self, name)) for name in names}
 
     @staticmethod
     def of(config: dict) -> Settings:
@@ -59,7 +70,7 @@ class Settings:
         return Settings(
             max_chars=int(batching.get("max_chars_per_batch") or base.max_chars), max_n=int(batching.get("max_articles_per_batch", base.max_n)), clip=int(batching.get("article_clip_chars") or base.clip),
             context=int(llm.get("context_window_tokens") or base.context), output=int(llm.get("max_output_tokens") or base.output), margin=int(llm.get("prompt_safety_margin") or base.margin),
-            chars_per_token=float(llm.get("chars_per_token") or base.chars_per_token), topics_at_once=max(1, min(16, int(batching.get("topic_concurrency") or base.topics_at_once))), lookback=str(ingest.get("lookback") or ""), prompts=DEFAULT_PROMPTS | {k: v for k, v in (config.get("prompts") or {}).items() if isinstance(v, str)},
+            chars_per_token=float(llm.get("chars_per_token") or base.chars_per_token), topics_at_once=max(1, min(16, int(batching.get("topic_concurrency") or base.topics_at_once))), lookback=str(ingest.get("lookback") or ""), prompts=DEFAULT_PROMPTS | select_prompts(config, str((config.get("prompts") or {}).get("selected") or "") or None), package=package_name(config),
         )
 
 
@@ -72,55 +83,119 @@ def _size(a: dict) -> int:
     return sum(len(str(a.get(k) or "")) for k in ("text", "title", "url")) + 200
 
 
-def map_topic(batches: list[list[dict]], model: ChatModel, s: Settings, done: dict[int, str] | None = None) -> list[dict]:
-    """Summaries of a topic's batches.
+class Tail:
+    """Where articles go that did not fit their batch: the last planned batch while there is room, then new ones."""
+
+    def __init__(self, s: Settings, last: int, chars: int, n: int):
+        self.s, self.last = s, last
+        self.batches: list[tuple[int, list[dict]]] = [(last, [])]  # what comes to the last planned batch, then new batches
+        self.chars, self.n = chars, n
+
+    def add(self, a: dict, trying: int) -> None:
+        room = trying != self.batches[-1][0] and (not self.s.max_n or self.n < self.s.max_n) and self.chars + _size(a) <= self.s.max_chars
+        if not room:
+            self.last += 1
+            self.batches.append((self.last, []))
+            self.chars = self.n = 0
+        self.batches[-1][1].append(a)
+        self.chars, self.n = self.chars + _size(a), self.n + 1
+
+
+def map_topic(planned: Iterable[tuple[int, list[dict]]], model: ChatModel, s: Settings, *, total: int, last_chars: int, last_n: int, done: dict[int, dict] | None = None, log: Callable[[dict], None] | None = None) -> Iterator[dict]:
+    """Summaries of a topic's batches (number, articles), one after the other.
 
     If a prompt overflows so far that cutting its end will not do, articles move
-    to the last batch if they fit, else to a new one, and the batch is tried
-    again; a batch of one article has its text cut instead.  Batches in ``done``
-    are not asked for again.
+    to the tail and the batch is tried again; a batch of one article has its
+    text cut instead.  Only the batch at hand and moved articles are held.
+
+    ``done`` has the finished batches of an earlier run by number (with ids):
+    they are not asked for again.  An article of a planned batch that is in no
+    finished one is still open, wherever it was moved: it stays in its batch, or
+    goes to the tail if that batch is finished without it.
     """
-    from presswerk.operators.budget import trim_words
-
-    out, k, drops = [], 0, 0
-    while k < len(batches):
-        batch = batches[k]
-        if done and k + 1 in done:
-            out.append({"batch_id": k + 1, "ids": [a["id"] for a in batch], "summary": done[k + 1], "trims": 0, "drops": 0})
-            k += 1
-            continue
-        corpus = "\n\n---\n\n".join(block(i, a) for i, a in enumerate(batch, 1))
-        user = fill(s.prompts["batch_user_template"], batch_index=str(k + 1), batch_total=str(len(batches)), articles_corpus=corpus)
-        try:
-            answer, trims = guarded_chat(model, [{"role": "system", "content": s.prompts["batch_system"]}, {"role": "user", "content": user}], context=s.context, output=s.output, margin=s.margin, chars_per_token=s.chars_per_token)
-        except PromptTooLong as e:
-            if not e.structural:
-                raise
-            if len(batch) == 1:
-                shorter = trim_words(batch[0].get("text") or "", (e.overflow or 2048) + 2048, s.chars_per_token, fn.CUT_MARK)
-                if not shorter:
-                    out.append({"batch_id": k + 1, "ids": [batch[0]["id"]], "summary": "", "trims": 1, "drops": drops})
-                    k, drops = k + 1, 0
+    done = done or {}
+    finished = {i for r in done.values() for i in r["ids"]}
+    tail = Tail(s, max([total, *done]), last_chars, last_n)
+    if max([total, *done]) > total or total in done:
+        tail.chars, tail.n = s.max_chars + 1, 1  # the last batch is finished, or not a planned one
+
+    def ask(number: int, batch: list[dict]) -> dict:
+        drops = 0
+        while True:
+            corpus = "\n\n---\n\n".join(block(i, a) for i, a in enumerate(batch, 1))
+            user = fill(s.prompts["batch_user_template"], batch_index=str(number), batch_total=str(tail.last), articles_corpus=corpus)
+            try:
+                answer, trims = guarded_chat(model, [{"role": "system", "content": s.prompts["batch_system"]}, {"role": "user", "content": user}], context=s.context, output=s.output, margin=s.margin, chars_per_token=s.chars_per_token)
+                return {"batch_id": number, "ids": [a["id"] for a in batch], "summary": answer, "trims": trims, "drops": drops}
+            except PromptTooLong as e:
+                if not e.structural:
+                    raise
+                if len(batch) == 1:
+                    shorter = trim_words(batch[0].get("text") or "", (e.overflow or 2048) + 2048, s.chars_per_token, fn.CUT_MARK)
+                    if not shorter:
+                        return {"batch_id": number, "ids": [batch[0]["id"]], "summary": "", "trims": 1, "drops": drops}
+                    batch[0] = batch[0] | {"text": shorter}
                     continue
-                batch[0] = batch[0] | {"text": shorter}
-                continue
-            wanted = 0 if e.overflow <= s.structural_threshold else int((e.overflow + 1024) * s.chars_per_token)
-            moved = 0
-            while len(batch) > 1:
-                a = batch.pop()
-                moved += _size(a)
-                drops += 1
-                last = batches[-1]
-                if last is not batch and (not s.max_n or len(last) < s.max_n) and sum(map(_size, last)) + _size(a) <= s.max_chars:
-                    last.append(a)
-                else:
-                    batches.append([a])
-                if moved >= wanted:
-                    break
+                wanted = 0 if e.overflow <= s.structural_threshold else int((e.overflow + 1024) * s.chars_per_token)
+                moved = 0
+                while len(batch) > 1 and (not moved or moved < wanted):
+                    a = batch.pop()
+                    moved, drops = moved + _size(a), drops + 1
+                    tail.add(a, number)
+
+    def logged(row: dict) -> dict:
+        if log is not None:
+            log(row)
+        return row
+
+    yield from (done[n] for n in sorted(done))
+    for number, batch in planned:
+        batch = [a for a in batch if a["id"] not in finished]
+        if number in done:
+            for a in batch:
+                tail.add(a, number)
             continue
-        out.append({"batch_id": k + 1, "ids": [a["id"] for a in batch], "summary": answer, "trims": trims, "drops": drops})
-        k, drops = k + 1, 0
-    return out
+        if number == total and tail.batches[0][0] == number:
+            batch += tail.batches[0][1]
+            tail.batches[0][1].clear()
+        if batch:
+            yield logged(ask(number, batch))
+    at = 0
+    while at < len(tail.batches):
+        number, batch = tail.batches[at]
+        at += 1
+        if batch:
+            yield logged(ask(number, batch))
+
+
+class BatchLog:
+    """Finished batches of a job in a shared folder: a file each, written by the worker that has the answer."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+
+    def _place(self, topic: str):
+        files, path = pa_fs.FileSystem.from_uri(self.uri)
+        return files, f"{path}/{hashlib.sha1(topic.encode()).hexdigest()}"
+
+    def read(self, topic: str) -> dict[int, dict]:
+        files, path = self._place(topic)
+        found = files.get_file_info(pa_fs.FileSelector(path, allow_not_found=True))
+        rows = [json.loads(files.open_input_stream(x.path).read()) for x in found if x.path.endswith(".json")]
+        return {r["batch_id"]: r for r in rows if r["summary"]}
+
+    def add(self, topic: str, row: dict) -> None:
+        files, path = self._place(topic)
+        files.create_dir(path, recursive=True)
+        name = f"{path}/{row['batch_id']:09d}"
+        with files.open_output_stream(f"{name}.tmp") as out:
+            out.write(json.dumps(row).encode())
+        files.move(f"{name}.tmp", f"{name}.json")
+
+    def clear(self) -> None:
+        files, path = pa_fs.FileSystem.from_uri(self.uri)
+        if files.get_file_info(path).type == pa_fs.FileType.Directory:
+            files.delete_dir(path)
 
 
 def batches_of(articles: DataFrame, s: Settings) -> DataFrame:
@@ -131,21 +206,27 @@ def batches_of(articles: DataFrame, s: Settings) -> DataFrame:
     return packed.join(body, "id")
 
 
-def map_stage(batches: DataFrame, model: ChatModel, s: Settings, done: DataFrame | None = None) -> DataFrame:
-    """SUMMARY rows.  ``done`` (topic, batch_id, summary) are finished ones of an earlier run."""
+def map_stage(batches: DataFrame, model: ChatModel, s: Settings, log: BatchLog | None = None) -> DataFrame:
+    """SUMMARY rows.  Topics are dealt to ``topics_at_once`` tasks; a task reads its topics' batches in order, as they stream by.
+
+    With a log, batches that it has are not asked for, and each new summary is
+    added to it at once.
+    """
+    size = F.length(fn.text(F.col("text"))) + F.length(fn.text(F.col("title"))) + F.length(fn.text(F.col("url"))) + 200
+    ends = batches.groupBy("topic", "batch_id").agg(F.sum(size).alias("chars"), F.count("*").alias("n")).groupBy("topic").agg(F.max(F.struct("batch_id", "chars", "n")).alias("last"))
+    rows = batches.join(ends, "topic").select("topic", "batch_id", "ord", "id", "title", "source", "url", "text", F.col("last.batch_id").alias("total"), F.col("last.chars").alias("last_chars"), F.col("last.n").alias("last_n"))
 
-    def run(key, own: pd.DataFrame, finished: pd.DataFrame | None = None) -> pd.DataFrame:
-        rows = own.sort_values("ord").to_dict("records")
-        made: list[list[dict]] = []
-        for number in sorted({r["batch_id"] for r in rows}):
-            made.append([r for r in rows if r["batch_id"] == number])
-        known = {} if finished is None else {int(b): t for b, t in zip(finished["batch_id"], finished["summary"]) if t}
-        got = map_topic(made, model, s, known)
-        return pd.DataFrame([{"topic": key[0], **g} for g in got], columns=["topic", "batch_id", "ids", "summary", "trims", "drops"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream = (r for pdf in frames for r in pdf.to_dict("records"))
+        for topic, own in groupby(stream, key=lambda r: r["topic"]):
+            first = next(own)
+            planned = ((n, list(g)) for n, g in groupby(chain([first], own), key=lambda r: r["batch_id"]))
+            done = log.read(topic) if log else None
+            add = (lambda row, topic=topic: log.add(topic, row)) if log else None
+            for row in map_topic(planned, model, s, total=int(first["total"]), last_chars=int(first["last_chars"]), last_n=int(first["last_n"]), done=done, log=add):
+                yield pd.DataFrame([{"topic": topic, **row}], columns=[c.split()[0] for c in SUMMARY.split(", ")])
 
-    if done is None:
-        return batches.groupBy("topic").applyInPandas(lambda key, own: run(key, own), SUMMARY)
-    return batches.groupBy("topic").cogroup(done.groupBy("topic")).applyInPandas(lambda key, own, fin: run(key, own, fin), SUMMARY)
+    return rows.repartition(s.topics_at_once, "topic").sortWithinPartitions("topic", "batch_id", "ord").mapInPandas(run, SUMMARY)
 
 
 def reduce_stage(summaries: DataFrame, sources: DataFrame, model: ChatModel, s: Settings) -> DataFrame:
@@ -243,88 +324,122 @@ def assemble(spark: SparkSession, topical: DataFrame, sections: DataFrame, model
         "id": f"sum_{_day(now, '%Y%m%d_%H%M')}" + (f"_job{job}" if job is not None else ""), "title": title_of(model, s, body, lo, hi), "created": now, "kind": kind,
         "sources": list(dict.fromkeys(i for x in out_sections for i in x["sources"])), "sources_snapshots": [y for x in out_sections for y in x["sources_snapshots"]],
         "from": lo, "to": hi, "overview": overview, "summary": body + ("\n\n" + appendix[0] if appendix else ""), "sections": out_sections, "prompts": s.prompts, "meta": {"topics": str(len(out_sections))},
+        "llm": s.projection("context", "output", "margin", "chars_per_token") | {"model": type(model).__name__}, "batching": s.projection("max_chars", "max_n", "clip", "structural_threshold", "topics_at_once"),
+        "selection": {"prompt_package": s.package, "lookback": s.lookback, "articles": str(len({i for x in out_sections for i in x["sources"]}))}, "proofread_feedback": "\n\n".join(r["feedback"] for r in rows if r["feedback"]),
     }
 
 
+def _with_order(articles: DataFrame) -> DataFrame:
+    """Articles with ``pos``, the order of their first appearance: by the time they were fetched, then by id."""
+    return articles.withColumn("pos", F.struct(F.coalesce("fetched_at", F.lit(0)).alias("at"), F.col("id").alias("key")))
+
+
 def summarise(spark: SparkSession, topical: DataFrame, model: ChatModel, s: Settings, *, now: int, job: int | None = None, store: Store | None = None, key: str | None = None) -> dict:
     """Map, reduce and assembly over articles with a topic.
 
-    With a store, finished batch summaries are kept under ``key`` and not asked
-    for again by a later run with that key.
+    With a store, each finished batch is logged under ``key`` with its articles,
+    and a later run with that key asks only for the others.
     """
     lines = topical.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("eff_ts", "pos", fn.source_line(F.col("title"), F.col("url")).alias("l")))).alias("x"))
     lines = lines.select("topic", F.array_join(F.transform("x", lambda x: x["l"]), "\n").alias("lines"))
-    done = store.load_checkpoint(key).where("summary <> ''").select(F.col("article_id").alias("topic"), "batch_id", "summary") if store and key else None
-    mapped = map_stage(batches_of(topical, s), model, s, done)
+    log = BatchLog(f"{store.root}/batch_log/{key}") if store and key else None
+    mapped = map_stage(batches_of(topical, s), model, s, log)
     if store and key:
-        rows = mapped.select(F.lit(job).cast("long").alias("job_id"), "batch_id", F.lit(0).alias("ord"), F.col("topic").alias("article_id"), "summary", F.array_join("ids", ",").alias("ids"), "trims", "drops")
-        store.save_checkpoint(rows.drop("ids", "trims", "drops"), key)
-        mapped = store.load_checkpoint(key).select(F.col("article_id").alias("topic"), "batch_id", "summary", F.lit(0).alias("trims"), F.lit(0).alias("drops"))
+        store.save_checkpoint(mapped.withColumn("job_id", F.lit(job).cast("long")), key)
+        mapped = store.load_checkpoint(key)
     sections = reduce_stage(mapped, lines, model, s)
     doc = assemble(spark, topical, sections, model, s, now=now, job=job)
     if store and key:
         store.clear_checkpoint(key)
+        log.clear()
     return doc
 
 
 def run(spark: SparkSession, config: dict, store: Store, feeds: DataFrame, *, now: int, model: ChatModel | None = None, job: int | None = None, overrides: dict | None = None, entries: DataFrame | None = None) -> str | None:
-    """Ingest (if entries are given), select, summarise, save; gives the id of the summary document, None if nothing was selected."""
+    """Ingest (if entries with pages are given), select, summarise, save; gives the id of the summary document, None if nothing was selected."""
     from presswerk.sources import ingest
 
+    def tell(**fields) -> None:
+        if job is not None:
+            store.update_job(job, **fields)
+
     config = apply_overrides(config, overrides)
     s, model = Settings.of(config), model or ExtractiveModel()
-    if job is not None:
-        store.update_job(job, status="running", started_at=now)
+    tell(status="running", started_at=now, message="selecting")
     try:
         if entries is not None:
-            store.upsert_articles(ingest.articles_of(entries, now))
+            got = store.upsert_articles(ingest.articles_of(entries, now))
+            tell(message=f"ingested {got['inserted']} new, {got['updated']} changed")
         own = sel.override_feeds(feeds, (overrides or {}).get("sources"), (overrides or {}).get("topics"))
         sources = [r["name"] for r in own.select("name").collect()]
         seconds = spark.range(1).select(fn.lookback_seconds(F.lit(s.lookback))).first()[0]
-        chosen = sel.window(store.articles().withColumn("pos", F.xxhash64("id")), since=now - seconds if s.lookback else None, sources=sources, limit=2000)
+        chosen = sel.window(_with_order(store.articles()), since=now - seconds if s.lookback else None, sources=sources, limit=2000)
         chosen = sel.with_topic(chosen, own)
         if chosen.isEmpty():
-            if job is not None:
-                store.update_job(job, status="done", finished_at=now, message="no articles")
+            tell(status="done", finished_at=now, message="no articles")
             return None
         if job is not None:
-            ids = sel.interleave(chosen.drop("text")).select(F.lit(job).cast("long").alias("job_id"), F.lit(0).alias("batch_id"), "ord", F.col("id").alias("article_id"), F.col("topic").alias("summary"))
-            store.save_checkpoint(ids, f"corpus_{job}")
-            store.update_job(job, context=json.dumps({"overrides": overrides or {}, "lookback": s.lookback}))
+            ids = sel.interleave(chosen.drop("text")).select("ord", F.col("id").alias("article_id"), "topic")
+            store.save_corpus(ids, job)
+            topics = {r["topic"]: r["n"] for r in chosen.groupBy("topic").agg(F.count("*").alias("n")).collect()}
+            tell(context=json.dumps({"overrides": overrides or {}, "lookback": s.lookback, "selection": {"sources": sources, "articles": sum(topics.values()), "prompt_package": s.package}, "topics": topics}), message=f"summarising {sum(topics.values())} articles")
         doc = summarise(spark, chosen, model, s, now=now, job=job, store=store, key=f"job_{job}" if job is not None else None)
-        saved = store.save_summary(doc, now)
-        store.mark_summarized(chosen.select("id"), now)
-        if job is not None:
-            store.update_job(job, status="done", finished_at=now, summary_id=saved, message="done")
-        return saved
+        return _finish(store, doc, chosen, now, tell)
     except Exception as e:
-        if job is not None:
-            store.update_job(job, status="failed", finished_at=now, message=str(e)[:500])
+        tell(status="failed", finished_at=now, message=str(e)[:500])
         raise
 
 
-def resume(spark: SparkSession, config: dict, store: Store, job: int, *, now: int, model: ChatModel | None = None) -> str:
-    """Goes on with a job from its stored corpus and finished batches."""
-    corpus = store.load_checkpoint(f"corpus_{job}").select(F.col("article_id").alias("id"), F.col("summary").alias("topic"))
+def _finish(store: Store, doc: dict, chosen: DataFrame, now: int, tell: Callable) -> str:
+    saved = store.save_summary(doc, now)
+    store.mark_summarized(chosen.select("id"), now)
+    tell(status="done", finished_at=now, summary_id=saved, message="done")
+    return saved
+
+
+def stored_corpus(store: Store, job: int) -> DataFrame:
+    """The articles of a job with the topics and the order that it has stored; an error without any."""
+    corpus = store.load_corpus(job).select(F.col("article_id").alias("id"), "topic", F.col("ord").alias("pos"))
     if corpus.isEmpty():
         raise RuntimeError(f"job {job} has no stored corpus")
-    chosen = store.articles().withColumn("pos", F.xxhash64("id")).join(corpus, "id")
+    return store.articles().join(corpus, "id")
+
+
+def resume(spark: SparkSession, config: dict, store: Store, job: int, *, now: int, model: ChatModel | None = None) -> str:
+    """Goes on with a job from its stored corpus and finished batches, with the overrides it was started with."""
+    config = apply_overrides(config, store.job_context(job).get("overrides"))
+    chosen = stored_corpus(store, job)
     doc = summarise(spark, chosen, model or ExtractiveModel(), Settings.of(config), now=now, job=job, store=store, key=f"job_{job}")
-    saved = store.save_summary(doc, now)
-    store.update_job(job, status="done", finished_at=now, summary_id=saved)
-    return saved
+    return _finish(store, doc, chosen, now, lambda **fields: store.update_job(job, **fields))
+
+
+def summarise_text(spark: SparkSession, config: dict, articles: DataFrame, *, now: int, model: ChatModel | None = None) -> str:
+    """Only the text of a digest of articles that have a topic (without one: the fallback topic); nothing is stored."""
+    topical = articles if "topic" in articles.columns else articles.withColumn("topic", F.lit(fn.NO_TOPIC))
+    return summarise(spark, topical, model or ExtractiveModel(), Settings.of(config), now=now)["summary"]
 
 
-def replay(spark: SparkSession, config: dict, store: Store, summary_id: str, *, now: int, model: ChatModel | None = None, prompts: dict[str, str] | None = None) -> dict:
-    """The document that other prompts give for a stored summary's articles and topics; it is not saved."""
+def resume_text(spark: SparkSession, config: dict, store: Store, job: int, *, now: int, model: ChatModel | None = None) -> tuple[str, dict[str, str]]:
+    """The text of a resumed job and its numbers; the document is not saved and no article is marked."""
+    doc = summarise(spark, stored_corpus(store, job), model or ExtractiveModel(), Settings.of(config), now=now, job=job, store=store, key=f"job_{job}")
+    numbers = {k: str(sum(int(x["meta"][k]) for x in doc["sections"])) for k in ("batch_total", "trims", "drops")}
+    return doc["summary"], doc["meta"] | numbers
+
+
+def replay(spark: SparkSession, config: dict, store: Store, summary_id: str, *, now: int, model: ChatModel | None = None, prompts: dict[str, str] | None = None, package: str | None = None, save: bool = False) -> dict:
+    """The document that other prompts (or those of a package) give for a stored summary's articles and topics; saved under an id of its own if asked for."""
     doc = store.get_summary(summary_id)
     if doc.isEmpty():
         raise KeyError(summary_id)
     topics = sel.snapshot_topics(doc.select(F.posexplode("sources_snapshots").alias("pos", "x")).select("pos", "x.id", F.coalesce("x.topic", F.lit(fn.NO_TOPIC)).alias("topic")))
-    chosen = store.articles().withColumn("pos", F.xxhash64("id")).join(topics, "id")
-    s = Settings.of(config)
+    chosen = _with_order(store.articles()).join(topics, "id")
+    s = Settings.of(apply_overrides(config, {"prompt_package": package}))
     s.prompts = s.prompts | (prompts or {})
-    return summarise(spark, chosen, model or ExtractiveModel(), s, now=now)
+    out = summarise(spark, chosen, model or ExtractiveModel(), s, now=now) | {"kind": "replay"}
+    out |= {"id": f"{out['id']}_replay", "meta": out["meta"] | {"replay_of": summary_id}}
+    if save:
+        store.save_summary(out, now)
+    return out
 
 
 def compose(spark: SparkSession, config: dict, store: Store, parts: list[dict], *, now: int, name: str = "composed", model: ChatModel | None = None) -> str:
@@ -355,11 +470,22 @@ def compose(spark: SparkSession, config: dict, store: Store, parts: list[dict],
     return store.save_summary(doc, now)
 
 
+#: Characters of an article in a trial of prompts.
+LAB_CLIP = 2500
+
+
 def lab(spark: SparkSession, config: dict, store: Store, articles: DataFrame, feeds: DataFrame, *, job: int, now: int, model: ChatModel | None = None) -> str:
-    """A trial of prompts: the same stages, the text kept as the job's temporary summary."""
+    """A trial of prompts: the same stages on shorter clips, the text kept as the job's temporary summary."""
     s = Settings.of(config)
-    doc = summarise(spark, sel.with_topic(articles, feeds), model or ExtractiveModel(), s, now=now)
+    s.clip = int((config.get("batching") or {}).get("article_clip_chars") or LAB_CLIP)
+    store.update_job(job, status="running", started_at=now, message="trying prompts")
+    try:
+        doc = summarise(spark, sel.with_topic(articles, feeds), model or ExtractiveModel(), s, now=now)
+    except Exception as e:
+        store.update_job(job, status="failed", finished_at=now, message=str(e)[:500])
+        raise
     store.save_temp_summary(job, doc["summary"], json.dumps(doc["meta"]), now)
+    store.update_job(job, status="done", finished_at=now, message="done")
     return doc["summary"]
 
 

@@ -27,12 +27,12 @@ def ingest_articles(spark, d):
     return ingest.articles_of(e, views.NOW).drop("text", "seq")
 
 
-@query(_PLAN + "select topic, batch_id, count(*) as n from p group by all")
+@query(_PLAN + "select topic, batch_id, count(*) as n, string_agg(id, ',' order by ord) as ids from p group by all")
 def map_summaries(spark, d):
-    """Batches that the map stage summarised with the offline model, and their sizes."""
+    """Batches that the map stage summarised with the offline model, and their articles."""
     s = digest.Settings()
     a = topical(spark, d).where(F.col("eff_ts") >= SINCE)
-    return digest.map_stage(digest.batches_of(a, s), ExtractiveModel(), s).select("topic", "batch_id", F.size("ids").cast("long").alias("n"))
+    return digest.map_stage(digest.batches_of(a, s), ExtractiveModel(), s).select("topic", "batch_id", F.size("ids").cast("long").alias("n"), F.array_join("ids", ",").alias("ids"))
 
 
 @query()

@@ -13,9 +13,12 @@ SUMMARIES = {
     "sections": f"array<{_SECTION}>", "meta": "map<string,string>", "selection": "map<string,string>", "doc_json": "string",
 }
 TEMP_SUMMARIES = {"job_id": "bigint", "created_at": "bigint", "summary": "string", "meta": "string"}
-CHECKPOINTS = {"job_id": "bigint", "key": "string", "batch_id": "int", "ord": "int", "article_id": "string", "summary": "string"}
+CHECKPOINTS = {"job_id": "bigint", "key": "string", "topic": "string", "batch_id": "int", "ids": "array<string>", "summary": "string", "trims": "int", "drops": "int"}
+CORPUS = {"job_id": "bigint", "ord": "bigint", "article_id": "string", "topic": "string"}
 FEEDS = {"name": "string", "url": "string", "topics": "array<string>", "category_include": "array<string>", "category_exclude": "array<string>"}
-TABLES = {"articles": ARTICLES, "jobs": JOB_EVENTS, "summary_docs": SUMMARIES, "temp_summaries": TEMP_SUMMARIES, "checkpoints": CHECKPOINTS}
+TABLES = {"articles": ARTICLES, "jobs": JOB_EVENTS, "summary_docs": SUMMARIES, "temp_summaries": TEMP_SUMMARIES, "checkpoints": CHECKPOINTS, "corpus": CORPUS}
+#: Tables that are written by buckets of a key, so that an upsert rewrites only those that it touches.
+BUCKETS = {"articles": ("id", 64)}
 
 
 def ddl(fields: dict[str, str]) -> str:

@@ -75,19 +75,27 @@ def load_package(root, name: str) -> dict:
     return package_map(root)[name]
 
 
-def select_prompts(config: dict, package: str | None = None) -> dict[str, str]:
-    """Prompts embedded in the config, else those of the package asked for, selected or default, else of the first by name."""
+def _inline(prompts: dict) -> dict[str, str]:
+    return {k: v for k, v in prompts.items() if isinstance(v, str) and (k.endswith("_system") or k.endswith("_template"))}
+
+
+def package_name(config: dict, package: str | None = None) -> str:
+    """The package that ``select_prompts`` takes: asked for, selected or default, else the first by name; the selected name if prompts are embedded."""
     own = config.get("prompts") or {}
-    inline = {k: v for k, v in own.items() if isinstance(v, str) and (k.endswith("_system") or k.endswith("_template"))}
-    if inline:
-        return inline
+    asked = [x for x in (package, own.get("selected"), own.get("default_package"), "default") if x]
+    if _inline(own) or not own:
+        return str(own.get("selected") or "")
     packages = package_map(own.get("path") or "config/prompts")
-    if not packages:
-        return {}
-    for name in (package, own.get("selected"), own.get("default_package"), "default"):
-        if name in packages:
-            return {k: str(v) for k, v in packages[name].items()}
-    return {k: str(v) for k, v in packages[sorted(packages)[0]].items()}
+    return next((x for x in asked if x in packages), min(packages, default=""))
+
+
+def select_prompts(config: dict, package: str | None = None) -> dict[str, str]:
+    """Prompts embedded in the config, else those of its package; none if the config says nothing of prompts."""
+    own = config.get("prompts") or {}
+    if _inline(own) or not own:
+        return _inline(own)
+    name = package_name(config, package)
+    return {k: str(v) for k, v in load_package(own.get("path") or "config/prompts", name).items()} if name else {}
 
 
 def save_package(root: str | os.PathLike, name: str, prompts: dict) -> Path:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from presswerk.operators import budget as bg
@@ -14,6 +16,7 @@ from presswerk.plans import chat, digest, edit
 from presswerk.sources import ingest, packages
 
 NOW = 1706745600
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # models of this file go to workers that cannot import it
 
 
 class Scripted(chat.ChatModel):
@@ -34,26 +37,56 @@ def items(n, chars=1000):
     return [{"id": f"a{k}", "title": "t", "url": "u", "source": "s", "text": "w " * (chars // 2)} for k in range(n)]
 
 
+def mapped(batches, model, done=None, log=None, **options):
+    s = digest.Settings(**options)
+    size = lambda a: len(a["text"]) + len(a["title"]) + len(a["url"]) + 200
+    return list(digest.map_topic(enumerate(batches, 1), model, s, total=len(batches), last_chars=sum(map(size, batches[-1])), last_n=len(batches[-1]), done=done, log=log))
+
+
+def named(letter, n, chars=1000):
+    return [a | {"id": f"{letter}{k}"} for k, a in enumerate(items(n, chars))]
+
+
 def test_overflow_moves_articles_to_later_batches():
-    batches = [items(4), items(1)]
-    got = digest.map_topic(batches, Scripted(chat.PromptTooLong(900), chat.PromptTooLong(5000), "ok"), digest.Settings())
-    assert [r["batch_id"] for r in got] == list(range(1, len(got) + 1))
-    assert sorted(i for r in got for i in r["ids"]) == ["a0", "a0", "a1", "a2", "a3"]
-    assert got[0]["drops"] == 3 and len(got[0]["ids"]) == 1
+    got = mapped([named("a", 4), named("b", 1)], Scripted(chat.PromptTooLong(900), chat.PromptTooLong(5000), "ok"))
+    assert [(r["batch_id"], r["ids"], r["drops"]) for r in got] == [(1, ["a0"], 3), (2, ["b0", "a3", "a2", "a1"], 0)]
+
+
+def test_overflow_beyond_the_last_batch_makes_new_ones():
+    got = mapped([named("a", 3), named("b", 9)], Scripted(chat.PromptTooLong(900), chat.PromptTooLong(900), "ok"))
+    assert [(r["batch_id"], r["ids"]) for r in got] == [(1, ["a0"]), (2, [*(f"b{k}" for k in range(9)), "a2"]), (3, ["a1"])]
+    got = mapped([named("a", 3)], Scripted(chat.PromptTooLong(900), "ok"))
+    assert [(r["batch_id"], r["ids"]) for r in got] == [(1, ["a0", "a1"]), (2, ["a2"])]
 
 
 def test_single_article_is_cut():
     m = Scripted(chat.PromptTooLong(300), "ok")
-    got = digest.map_topic([items(1, 20000)], m, digest.Settings())
+    got = mapped([items(1, 20000)], m)
     assert got[0]["summary"] == "ok" and len(m.seen[1]) < len(m.seen[0])
 
 
 def test_finished_batches_are_not_asked_for():
     m = Scripted("new")
-    got = digest.map_topic([items(1), items(1)], m, digest.Settings(), {1: "old"})
+    got = mapped([named("a", 1), named("b", 1)], m, {1: {"batch_id": 1, "ids": ["a0"], "summary": "old", "trims": 0, "drops": 0}})
     assert [r["summary"] for r in got] == ["old", "new"] and len(m.seen) == 1
 
 
+@pytest.mark.parametrize("stop", range(1, 7))
+def test_resume_after_overflow_loses_nothing(stop):
+    """A run that fails at any call and is resumed has each article once, and asks for no answered batch again."""
+    plan = [named("a", 6), named("b", 5), named("c", 2)]
+    first = [chat.PromptTooLong(900), "one", chat.PromptTooLong(5000), "two", chat.PromptTooLong(300), "three", "four"][:stop]
+    log, done = [], {}
+    with pytest.raises(chat.AuthError):
+        mapped(plan, Scripted(*first, chat.AuthError("stop")), log=log.append, max_n=6)
+    done = {r["batch_id"]: r for r in log}
+    m = Scripted("later")
+    got = mapped(plan, m, done, max_n=6)
+    assert sorted(i for r in got for i in r["ids"]) == sorted(a["id"] for b in plan for a in b)
+    assert len({r["batch_id"] for r in got}) == len(got) and len(m.seen) == len(got) - len(done)
+    assert all(r in got for r in log)
+
+
 def test_guarded_chat_trims_small_overflows():
     m = Scripted(chat.PromptTooLong(100), "ok")
     answer, trims = chat.guarded_chat(m, [{"role": "user", "content": "word " * 500}])
@@ -195,6 +228,70 @@ def test_failed_job_is_marked_and_resumes(spark, tmp_path, corpus):
     assert s.get_job(job)["status"] == "done"
 
 
+class FailsAtReduce(chat.ExtractiveModel):
+    """Answers batches, and fails where summaries are merged; counts its calls in a file."""
+
+    def __init__(self, path, fail=True):
+        super().__init__()
+        self.path, self.fail = path, fail
+
+    def chat(self, messages, *, temperature=0.2):
+        with open(self.path, "a") as f:
+            f.write(messages[0]["content"] + "\n")
+        if self.fail and messages[0]["content"] == "Merge the summaries.":
+            raise chat.AuthError("reduce")
+        return super().chat(messages)
+
+
+def test_answered_batches_are_kept_when_a_job_fails(spark, tmp_path, corpus):
+    articles, feeds = corpus
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.upsert_articles(articles.drop("pos", "eff_ts", "ilv_ts"))
+    config = {"batching": {"max_articles_per_batch": 2}}
+    job, calls = s.create_job(NOW), tmp_path / "calls"
+    with pytest.raises(Exception):
+        digest.run(spark, config, s, feeds, now=NOW, job=job, model=FailsAtReduce(calls))
+    asked = calls.read_text().count("Summarise")
+    assert asked == 6
+    saved = digest.resume(spark, config, s, job, now=NOW, model=FailsAtReduce(calls, fail=False))
+    assert calls.read_text().count("Summarise") == asked
+    doc = s.get_summary(saved).first()
+    assert sorted(doc["sources"]) == sorted(f"a{k}" for k in range(12)) and doc["batching"]["max_n"] == "2" and doc["selection"]["articles"] == "12"
+    assert s.job_context(job)["topics"] == {"tech": 4, "sports": 4, "Okategoriserat": 4} and s.read("checkpoints").count() == 0
+
+
+def test_package_is_used_and_kept(spark, tmp_path, corpus):
+    """The package asked for changes the prompts; a digest of a daily package is kept for the daily time."""
+    from presswerk.operators.store import Retention
+
+    articles, feeds = corpus
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.upsert_articles(articles.drop("pos", "eff_ts", "ilv_ts"))
+    for name in ("daily_news", "weekly_news"):
+        packages.save_package(tmp_path / "p", name, {"batch_system": f"as {name}", "proofread_system": "check", "proofread_user_template": "{draft_summary}"})
+    config, calls = {"prompts": {"path": str(tmp_path / "p"), "default_package": "weekly_news"}}, tmp_path / "calls"
+    a = digest.run(spark, config, s, feeds, now=NOW, model=FailsAtReduce(calls, fail=False))
+    assert "as weekly_news" in calls.read_text() and "check" in calls.read_text()
+    b = digest.run(spark, config, s, feeds, now=NOW + 60, overrides={"prompt_package": "daily_news"}, model=FailsAtReduce(calls, fail=False))
+    assert "as daily_news" in calls.read_text()
+    assert s.cleanup(Retention(articles=9999, daily=7, weekly=30), NOW + 10 * 86400)["summary_docs"] == 1
+    assert [r["id"] for r in s.list_summaries().select("id").collect()] == [a] and b != a
+
+
+def test_texts_only(spark, tmp_path, corpus):
+    articles, feeds = corpus
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.upsert_articles(articles.drop("pos", "eff_ts", "ilv_ts"))
+    assert "## Källor" in digest.summarise_text(spark, {}, articles, now=NOW)
+    job = s.create_job(NOW)
+    with pytest.raises(RuntimeError):
+        digest.resume_text(spark, {}, s, job, now=NOW)
+    with pytest.raises(Exception):
+        digest.run(spark, {}, s, feeds, now=NOW, job=job, model=Scripted(chat.AuthError("key")))
+    text, numbers = digest.resume_text(spark, {}, s, job, now=NOW)
+    assert "## Källor" in text and numbers["batch_total"] == "3" and s.list_summaries().count() == 0
+
+
 def test_lab_keeps_a_temporary_summary(spark, tmp_path, corpus):
     articles, feeds = corpus
     s = Store(spark, f"file://{tmp_path}/store")
