@@ -113,8 +113,8 @@ class Store:
     never sees half a write and a table can be read while its next version is
     written.  A writer first claims the next number by creating a file, which
     succeeds once; others wait until the version is there, or the claim is so old
-    that its writer must be gone.  Rows are appended as files of the newest
-    version, without a rewrite.  Versions that nobody needs are dropped by
+    that its writer must be gone.  Rows are appended as files beside those of the
+    newest version, each append in a folder of its own, without a rewrite.  Versions that nobody needs are dropped by
     ``vacuum``.
     """
 
@@ -182,26 +182,30 @@ class Store:
         kind = schema.ddl(schema.TABLES[name])
         paths = [f"{self.root}/{name}/v={v}/bucket={b}" for b, v in sorted(held.items())]
         paths = [x for x in paths if (lambda fs, p: fs.exists(p))(*self._fs(x))]
-        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
     def read(self, name: str) -> DataFrame:
         return self._rows(name, self.manifest(name))
 
-    def _put(self, name: str, df: DataFrame, version: int, buckets: list[int], mode: str) -> None:
+    def _put(self, name: str, df: DataFrame, version: int) -> None:
         kind, (key, count) = schema.TABLES[name], schema.BUCKETS.get(name, (None, 1))
         bucket = bucket_of(F.col(key), count) if key else F.lit(0)
         rows = df.select(*[(F.col(f"`{f}`") if f in df.columns else F.lit(None)).cast(t).alias(f) for f, t in kind.items()], bucket.alias("bucket"))
         rows = rows.repartition("bucket") if key else rows
-        rows.write.mode(mode).partitionBy("bucket").parquet(f"{self.root}/{name}/v={version}")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/v={version}")
 
-    def update(self, name: str, change: Callable[[DataFrame], DataFrame], *, buckets: list[int] | None = None, tries: int = 600) -> None:
-        """A new version: ``change`` of the table, or of the rows in some of its buckets, while other writers wait."""
+    def update(self, name: str, change: Callable[[DataFrame], DataFrame], *, buckets: list[int] | None = None, tries: int = 600, first: bool = False) -> None:
+        """A new version: ``change`` of the table, or of the rows in some of its buckets, while other writers wait; with ``first`` only if there is none."""
         number = self._claim(name, tries)
         try:
             held = self.manifest(name)
+            if first and held:
+                fs, p = self._fs(f"{self.root}/{name}/_claim{number}")
+                fs.delete(p, False)
+                return
             count = schema.BUCKETS.get(name, (None, 1))[1]
             touched = list(range(count)) if buckets is None else buckets
-            self._put(name, change(self._rows(name, {b: v for b, v in held.items() if b in set(touched)})), number, touched, "overwrite")
+            self._put(name, change(self._rows(name, {b: v for b, v in held.items() if b in set(touched)})), number)
             self._write_text(f"{self.root}/{name}/_manifest{number}", json.dumps(held | dict.fromkeys(touched, number)))
         except BaseException:
             fs, p = self._fs(f"{self.root}/{name}/_claim{number}")
@@ -214,8 +218,10 @@ class Store:
     def append(self, name: str, df: DataFrame) -> None:
         """Adds rows to a table without a key, as further files of its newest version."""
         if not self.versions(name):
-            self.update(name, lambda old: old)
-        self._put(name, df, self.manifest(name)[0], [0], "append")
+            self.update(name, lambda old: old, first=True)
+        kind = schema.TABLES[name]
+        rows = df.select(*[(F.col(f"`{f}`") if f in df.columns else F.lit(None)).cast(t).alias(f) for f, t in kind.items()])
+        rows.write.parquet(f"{self.root}/{name}/v={self.manifest(name)[0]}/bucket=0/add-{uuid.uuid4().hex}")
 
     def vacuum(self, name: str, keep: int = 2) -> None:
         """Drops the versions that the newest ``keep`` manifests do not refer to."""

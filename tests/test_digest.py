@@ -180,6 +180,54 @@ def test_main_text():
     assert ingest.main_text(None) == "" and ingest.main_text("<body>plain<!-- c --></body>") == "plain"
 
 
+def test_main_text_is_read_once():
+    import time
+
+    start = time.monotonic()
+    assert ingest.main_text("<nav>" * 20000 + "<p>text</p>") == "text"
+    assert ingest.main_text("<p>a</p>" + "<script><b " * 20000).startswith("a") and time.monotonic() - start < 20
+
+
+def test_ingest_from_feeds_to_articles(spark, tmp_path):
+    """Feeds and pages of a local server; one feed is gone, one page is, one is too short, one entry is too old."""
+    import threading
+    from email.utils import formatdate
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    page = "<html><article><p>" + "word " * 60 + "</p></article></html>"
+    item = lambda k, age=0: f"<item><title>T{k}</title><link>http://127.0.0.1:{{port}}/p{k}</link><pubDate>{formatdate(NOW - age, usegmt=True)}</pubDate><category>News</category></item>"
+    served = {
+        "/rss": "<rss><channel><title>c</title>" + item(1) + item(2, 60) + item(3, 99999) + item(4) + "</channel></rss>",
+        "/atom": '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A</title><link rel="self" href="x"/><link href="http://127.0.0.1:{port}/p5"/><updated>2024-01-31T23:59:00Z</updated></entry></feed>',
+        "/p1": page, "/p2": "<p>short</p>", "/p5": page,
+    }
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = served.get(self.path)
+            self.send_response(200 if body else 404)
+            self.end_headers()
+            self.wfile.write((body or "").replace("{port}", str(self.server.server_port)).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}"
+        config = {"ingest": {"lookback": "24h"}, "feeds": [{"name": "r", "url": f"{url}/rss", "category_include": ["news"]}, {"name": "a", "url": f"{url}/atom"}, {"name": "gone", "url": f"{url}/none"}]}
+        s = Store(spark, f"file://{tmp_path}/store")
+        got = ingest.run(spark, config, s, now=NOW, rate=1000)
+        assert got == {"feeds": 3, "entries": 4, "feeds_failed": 1, "pages_failed": 1, "too_short": 1, "inserted": 2, "updated": 0}
+        assert ingest.run(spark, config, s, now=NOW, rate=1000)["inserted"] == 0
+        assert sorted((r["source"], r["title"], r["published_ts"]) for r in s.read("articles").collect()) == [("a", "A", NOW - 60), ("r", "T1", NOW)]
+        assert not s._names(f"{s.root}/landing")
+        assert digest.run(spark, config, s, packages.feed_frame(spark, config["feeds"]), now=NOW)
+    finally:
+        server.shutdown()
+
+
 def test_feeds_of_xml(spark, tmp_path):
     (tmp_path / "f.xml").write_text("<rss><channel><item><title> A </title><link>http://x/1</link><pubDate>Thu, 01 Feb 2024 00:00:00 GMT</pubDate><category>News</category><category>b</category></item></channel></rss>")
     got = ingest.rss_entries(spark, str(tmp_path / "f.xml")).collect()

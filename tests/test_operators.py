@@ -117,3 +117,35 @@ def test_backend_names(spark):
     assert st.create_store(spark, {}).mode == "merge"
     with pytest.raises(ValueError):
         st.create_store(spark, {"store": {"provider": "other"}})
+
+
+def test_store_writes_only_touched_buckets(spark, tmp_path):
+    s = st.Store(spark, f"file://{tmp_path}/s")
+    rows = spark.range(400).selectExpr("cast(id as string) as id", "concat('u', id) as url", "concat('h', id) as content_hash")
+    assert s.upsert_articles(rows) == {"inserted": 400, "updated": 0}
+    one = rows.where("id = '7'").selectExpr("id", "url", "'changed' as content_hash")
+    assert s.upsert_articles(one) == {"inserted": 0, "updated": 1}
+    assert sum(x.startswith("bucket=") for x in s._names(f"{s.root}/articles/v=2")) == 1
+    assert s.read("articles").count() == 400 and s.get_article("7").first()["content_hash"] == "changed"
+    with pytest.raises(ValueError):
+        s.upsert_articles(spark.sql("select 'new' as id, 'u9' as url, 'x' as content_hash"))
+    s.vacuum("articles", keep=1)
+    assert s.versions("articles") == [2] and s.read("articles").count() == 400
+
+
+def test_writers_wait_for_each_other(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = st.Store(spark, f"file://{tmp_path}/s")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: s.save_summary({"id": f"s{k}", "summary": "x"}, 1), range(4)))
+        jobs = list(pool.map(lambda k: s.create_job(k), range(4)))
+    assert sorted(r["id"] for r in s.read("summary_docs").collect()) == ["s0", "s1", "s2", "s3"]
+    assert sorted(jobs) == [1, 2, 3, 4] and s.jobs().count() == 4
+    fs, p = s._fs(f"{s.root}/summary_docs/_claim99")
+    fs.createNewFile(p)  # a writer that is at work
+    with pytest.raises(st.Conflict):
+        s.update("summary_docs", lambda old: old, tries=2)
+    s.STALE = -1  # or gone
+    s.update("summary_docs", lambda old: old, tries=2)
+    assert s.versions("summary_docs")[-1] == 100 and s.read("summary_docs").count() == 4
