@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from collections.abc import Callable
@@ -161,6 +162,24 @@ class Store:
         if not fs.rename(draft, self._fs(path)[1]):
             raise Conflict(path)
 
+    def _create(self, path: str) -> bool:
+        """Whether this call created the file; of several at a time one does."""
+        fs, p = self._fs(path)
+        if fs.getUri().getScheme() == "file":  # where the library looks first and creates then
+            local = fs.makeQualified(p).toUri().getPath()
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            try:
+                os.close(os.open(local, os.O_CREAT | os.O_EXCL))
+                return True
+            except FileExistsError:
+                return False
+        try:
+            return fs.createNewFile(p)
+        except Py4JJavaError:
+            if fs.exists(p):
+                return False
+            raise
+
     def _claim(self, name: str, tries: int) -> int:
         """The number of the next version, which no other writer has."""
         for k in range(tries):
@@ -168,12 +187,8 @@ class Store:
             have = self.versions(name)
             claims = {int(x[6:]): at for x, at in names.items() if x.startswith("_claim") and x[6:].isdigit()}
             if all(n in have or now - at > self.STALE * 1000 for n, at in claims.items()):
-                fs, p = self._fs(f"{self.root}/{name}/_claim{max([0, *have, *claims]) + 1}")
-                try:
-                    if fs.createNewFile(p):
-                        return max([0, *have, *claims]) + 1
-                except Py4JJavaError:  # some file systems raise where the file is there
-                    pass
+                if self._create(f"{self.root}/{name}/_claim{max([0, *have, *claims]) + 1}"):
+                    return max([0, *have, *claims]) + 1
             if k + 1 < tries:
                 time.sleep(self.PAUSE)
         raise Conflict(f"another writer holds {name}")
@@ -284,12 +299,8 @@ class Store:
         """A queued job under the next free id, which is claimed by a file, so that no two writers get the same."""
         job = (self.read("jobs").agg(F.max("job_id")).first()[0] or 0) + 1
         while True:
-            fs, p = self._fs(f"{self.root}/jobs/_ids/{job}")
-            try:
-                if fs.createNewFile(p):
-                    break
-            except Py4JJavaError:  # some file systems raise where the file is there
-                pass
+            if self._create(f"{self.root}/jobs/_ids/{job}"):
+                break
             job += 1
         self._job_event(job, created_at=now, status="queued", message="")
         return job
@@ -390,8 +401,6 @@ class Store:
 
 def create_store(spark: SparkSession, config: dict) -> Store:
     """A store of ``config['store']``: path, and provider tinydb (merge) or sqlite (replace) for their upsert rules."""
-    import os
-
     own = config.get("store") or {}
     kind = str(own.get("provider") or "tinydb").strip().lower()
     modes = {"tinydb": "merge", "sqlite": "replace", "sqlite3": "replace", "parquet": "replace"}
