@@ -19,8 +19,8 @@ LEAST_PIVOTS, MOST_PIVOTS, NEAR = 64, 4096, 8
 APART = 0.8
 #: Vectors are candidates of each other if they share this many of their nearest pivots.
 SHARED = 3
-#: Rows that one task groups or compares at a time.
-BLOCK = 2048
+#: Vectors that one task groups to clumps, and clumps that one compares, at a time.
+ROWS, BLOCK = 512, 2048
 #: Clumps of a list from which on they meet in blocks, as two matrices in a task, instead of pair by pair.
 LONG_LIST = 512
 #: Radians by which a bound must be clear of the threshold.
@@ -63,19 +63,20 @@ def describe(v: DataFrame, pivots: np.ndarray) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, near), pa.int32()), pa.array(order.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "near"])
 
-    return v.mapInArrow(run, "vec_id long, label string, v array<double>, near array<int>")
+    return v.mapInArrow(run, "vec_id long, label string, v array<double>, copies long, near array<int>")
 
 
-CLUMPED = "vec_id long, label string, v array<double>, near array<int>, clump long, n long, center array<double>, radius double"
+CLUMPED = "vec_id long, label string, v array<double>, copies long, near array<int>, clump long, n long, center array<double>, radius double"
 
 
 def _clumps(t: pa.Table, dim: int, cos: float) -> pa.Table:
     """Groups a block's rows around mean directions so tightly that all rows of a clump are linked with each other.
 
     A clump is named by its smallest vec_id, whose row also has the number of
-    rows, the center and the radius; these are null in the others.
+    vectors (copies included), the center and the radius; these are null in the
+    others.
     """
-    x, ids = _unit(t.column("v"), dim), t.column("vec_id").to_numpy()
+    x, ids, copies = _unit(t.column("v"), dim), t.column("vec_id").to_numpy(), t.column("copies").to_numpy()
     tight = math.cos(math.acos(cos) / 2 - 1e-9)
     owner, left = np.full(len(ids), -1), np.argsort(ids, kind="stable")
     n, centers, radius = [None] * len(ids), [None] * len(ids), [None] * len(ids)
@@ -91,21 +92,22 @@ def _clumps(t: pa.Table, dim: int, cos: float) -> pa.Table:
         left = left[owner[left] < 0] if (ids >= 0).all() else left[~np.isin(left, inside)]
         head, center = inside[ids[inside].argmin()], x[inside].sum(axis=0)
         center /= np.linalg.norm(center)
-        n[head], centers[head] = len(inside), center
+        n[head], centers[head] = int(copies[inside].sum()), center
         radius[head] = float(np.arccos(np.clip((x[inside] @ center).min(), -1, 1))) if len(inside) > 1 else 0.0
-    own = [t.column(c) for c in ("vec_id", "label", "v", "near")]
+    own = [t.column(c) for c in ("vec_id", "label", "v", "copies", "near")]
     return pa.table([*own, pa.array(owner, pa.int64()), pa.array(n, pa.int64()), pa.array(centers, pa.list_(pa.float64())), pa.array(radius, pa.float64())], names=[c.split()[0] for c in CLUMPED.split(", ")])
 
 
 def _pair_links(batch: pa.RecordBatch, dim: int, cos: float):
-    """For each pair of clumps: the rows of either that are linked across, and with how many."""
+    """For each pair of clumps: the rows of either that are linked across, and with how many vectors."""
     a_ids, b_ids = batch.column("a_ids"), batch.column("b_ids")
+    a_copies, b_copies = batch.column("a_copies"), batch.column("b_copies")
     out = []
     for k in range(batch.num_rows):
         ia, ib = np.array(a_ids[k].as_py()), np.array(b_ids[k].as_py())
         linked = _unit(batch.column("a_v")[k].values, dim) @ _unit(batch.column("b_v")[k].values, dim).T >= cos
         if linked.any():
-            for ids, n in ((ia, linked.sum(axis=1)), (ib, linked.sum(axis=0))):
+            for ids, n in ((ia, linked @ np.array(b_copies[k].as_py())), (ib, np.array(a_copies[k].as_py()) @ linked)):
                 out += [(int(i), int(c)) for i, c in zip(ids, n) if c]
             out.append((None, None))
         yield k, out
@@ -136,7 +138,7 @@ def _linked(spark: SparkSession, v: DataFrame, dim: int, count: int, cos: float)
     lists = described.select("*", F.col("near")[0].alias("first"))
     lists = stage(spark, lists, "described")
     sizes = stage(spark, lists.groupBy("label", "first").agg(F.count("*").alias("n")), "sizes")
-    dealt = lists.join(sizes, ["label", "first"]).withColumn("block", F.expr(f"pmod(xxhash64(vec_id), ceil(n / {BLOCK}))")).drop("n")
+    dealt = lists.join(sizes, ["label", "first"]).withColumn("block", F.expr(f"pmod(xxhash64(vec_id), ceil(n / {ROWS}))")).drop("n")
     clumped = dealt.repartition("label", "first", "block").groupBy("label", "first", "block").applyInArrow(lambda t: _clumps(t, dim, cos), CLUMPED)
     clumped = stage(spark, clumped, "clumped")
     heads = clumped.where("n is not null").select("clump", "label", "n", F.col("center").alias("v"), "radius")
@@ -179,10 +181,10 @@ def _linked(spark: SparkSession, v: DataFrame, dim: int, count: int, cos: float)
     whole = judged.where("bound = 'all'")
     open_ = judged.where("bound = 'rows'").select("a", "b")
 
-    # Rows of the clumps that bounds leave open: at most BLOCK of either side meet in one task.
-    packed = clumped.join(open_.select(F.explode(F.array("a", "b")).alias("clump")).distinct(), "clump", "left_semi").groupBy("clump").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("m"))
-    packed = stage(spark, packed.select("clump", F.col("m.vec_id").alias("ids"), F.col("m.v").alias("vs")), "packed")
-    side = lambda s: packed.select(F.col("clump").alias(s), F.col("ids").alias(f"{s}_ids"), F.col("vs").alias(f"{s}_v"))
+    # Rows of the clumps that bounds leave open: at most ROWS of either side meet in one task.
+    packed = clumped.join(open_.select(F.explode(F.array("a", "b")).alias("clump")).distinct(), "clump", "left_semi").groupBy("clump").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v", "copies"))).alias("m"))
+    packed = stage(spark, packed.select("clump", F.col("m.vec_id").alias("ids"), F.col("m.v").alias("vs"), F.col("m.copies").alias("copies")), "packed")
+    side = lambda s: packed.select(F.col("clump").alias(s), F.col("ids").alias(f"{s}_ids"), F.col("vs").alias(f"{s}_v"), F.col("copies").alias(f"{s}_copies"))
 
     def compare(batches):
         for batch in batches:
@@ -193,7 +195,7 @@ def _linked(spark: SparkSession, v: DataFrame, dim: int, count: int, cos: float)
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["a", "b", "vec_id", "links"])
 
-    found = stage(spark, open_.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_ids", "a_v", "b_ids", "b_v").mapInArrow(compare, "a long, b long, vec_id long, links long"), "found")
+    found = stage(spark, open_.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_ids", "a_v", "a_copies", "b_ids", "b_v", "b_copies").mapInArrow(compare, "a long, b long, vec_id long, links long"), "found")
 
     edges = whole.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(found.where("vec_id is null").select("a", "b"))
     parts = connected_components(spark, edges).withColumnRenamed("id", "clump")
@@ -213,8 +215,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "v
     of their descriptions, and they are verified.  Where fewer than LEAST_PIVOTS
     are apart, all vectors of a label meet, in blocks.
 
-    Large groups of copies are kept linear: the rows of a list block are first
-    clumped around mean directions, so tightly that all rows of a clump are
+    Large groups of copies are kept linear: equal vectors of a label are one, with
+    the number of its copies, and the rows of a list block are first clumped around mean directions, so tightly that all rows of a clump are
     linked, and a clump is indexed once for each description that its rows have.
     Two clumps are linked as a whole or not at all where their centers and radii
     prove it; else their rows are compared, as two matrices in one task.  So the
@@ -229,11 +231,14 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "v
     v = usable(vectors, id_col, vec_col, label_col)
     v = stage(spark, v.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("x")).select("vec_id", "x.label", "x.v"), "vectors")
     ids = vectors.select(vectors[id_col].cast("long").alias("vec_id")).distinct()
-    dims = v.groupBy(F.size("v").alias("dim")).count().where("count > 1").orderBy("dim").collect()
+    alike = stage(spark, v.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")), "alike")
+    copy_of = stage(spark, v.join(alike.where("copies > 1"), ["label", "v"]).where("vec_id <> first").select("vec_id", "first"), "copies")
+    single = stage(spark, alike.select(F.col("first").alias("vec_id"), "label", "v", "copies"), "distinct")
+    dims = single.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max("copies").alias("most")).where("n > 1 or most > 1").orderBy("dim").collect()
     own = spark.createDataFrame([], "vec_id long, n_links long, component_id long")
-    for dim, count in dims:
-        own = own.union(_linked(spark, v.where(F.size("v") == dim), dim, count, cos))
+    for dim, count, _ in dims:
+        own = own.union(_linked(spark, single.where(F.size("v") == dim), dim, count, cos))
     zero = F.lit(0).cast("long")
-    out = ids.join(own, "vec_id", "left")
+    out = ids.join(copy_of, "vec_id", "left").withColumn("first", F.coalesce("first", "vec_id")).join(own.withColumnRenamed("vec_id", "first"), "first", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", zero).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -107,6 +107,16 @@ def test_pivots_copies_above_a_block(spark):
     assert all(r["n_links"] == 4999 and r["component_id"] == 0 for r in got.values())
 
 
+def test_pivots_copies_count(spark):
+    """Copies of vectors that also link to others: every copy counts in the others' links."""
+    rng = np.random.default_rng(31)
+    base = rng.normal(size=(90, 16))
+    base[40:60] = base[:20] + rng.normal(size=(20, 16)) * 0.2
+    base[60:80] = base[:20] + rng.normal(size=(20, 16)) * 0.3
+    rows = [(1000 - k, "ab"[k % 2], base[k % 90].tolist()) for k in range(90)] + [(k, "a", base[2 * (k % 7)].tolist()) for k in range(200)] + [(5000, "b", base[0].tolist())]
+    linked(spark, rows)
+
+
 def test_pivots_narrow_cone(spark, monkeypatch):
     u = lambda deg: [float(np.cos(np.radians(deg))), float(np.sin(np.radians(deg)))]
     got = linked(spark, [(1, "a", u(0)), (2, "a", u(19)), (3, "a", u(31))])  # cosines 0.946, 0.978 and 0.857, one pivot
@@ -153,6 +163,7 @@ def test_pivots_long_lists_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(k - 200, "ab"[k % 2], v.tolist()) for k, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
     whole = sorted(map(tuple, pivots.near_duplicates(spark, df).collect()))
     monkeypatch.setattr(pivots, "LONG_LIST", 2)
+    monkeypatch.setattr(pivots, "ROWS", 30)
     monkeypatch.setattr(pivots, "BLOCK", 40)
     assert sorted(map(tuple, pivots.near_duplicates(spark, df).collect())) == whole
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -165,7 +176,7 @@ def test_clumps_are_fully_linked():
 
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(1, 16)) + rng.normal(size=(200, 16)) * s for s in (0.05, 0.2, 0.6)])
-    t = pa.table({"vec_id": range(len(x)), "label": ["a"] * len(x), "v": x.tolist(), "near": [[0]] * len(x)})
+    t = pa.table({"vec_id": range(len(x)), "label": ["a"] * len(x), "v": x.tolist(), "copies": [1] * len(x), "near": [[0]] * len(x)})
     out = pivots._clumps(t, 16, 0.93)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     clump = out.column("clump").to_numpy()
