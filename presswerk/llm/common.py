@@ -85,31 +85,29 @@ class ChunkMemo(dict):
 
     A text becomes one buffer, the joined bytes of its chunks, at the cost of a
     dictionary look-up each.  What is remembered takes about ``limit`` bytes at
-    most, and only chunks of 64 characters or less are.
+    most: the chunks that come first, among which the frequent ones are, of 64
+    characters or less.
     """
 
     #: Bytes that an entry takes besides its characters.
     ENTRY = 200
 
-    def __init__(self, make: Callable[[list], list[bytes]], limit: int = 48 << 20):
+    def __init__(self, make: Callable[[list], list[bytes]], limit: int = 64 << 20):
         super().__init__()
         self.make, self.limit, self.held = make, limit, 0
 
     def buffers(self, texts: list[list]) -> list[bytes]:
         """One buffer for each list of chunks."""
-        seen = set().union(*texts)
-        new = list(seen.difference(self))
-        if self.held + len(new) * self.ENTRY > self.limit:
-            self.clear()
-            self.held, new = 0, list(seen)
+        new = list(set().union(*texts).difference(self))
         made = self.make(new)
         self.update(zip(new, made))
         out = [b"".join(map(self.__getitem__, chunks)) for chunks in texts]
         for chunk, value in zip(new, made):
-            if len(chunk) > 64:
+            size = self.ENTRY + len(chunk) + len(value)
+            if len(chunk) > 64 or self.held + size > self.limit:
                 del self[chunk]
             else:
-                self.held += self.ENTRY + len(chunk) + len(value)
+                self.held += size
         return out
 
 

@@ -54,6 +54,19 @@ def test_components(spark):
     assert connected_components(spark, spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_memo_is_bounded():
+    from presswerk.llm.common import ChunkMemo, worker_state
+
+    asked = []
+    memo = ChunkMemo(lambda chunks: [asked.append(c) or c.encode() for c in chunks], limit=3 * 205)
+    assert memo.buffers([["a", "b", "a"], [], ["c" * 100]])[::2] == [b"aba", b"c" * 100]
+    assert memo.buffers([list("abcdefgh")]) == [b"abcdefgh"]
+    assert len(memo) == 3 and memo.held <= memo.limit and asked.count("a") == 1
+    assert worker_state("x", list) is worker_state("x", list) and worker_state("y", dict) == {}
+    worker_state("x", list).append(1)
+    assert worker_state("y", dict) == {} and worker_state("x", list) == []
+
+
 # -- 1 embeddings ------------------------------------------------------------
 
 
