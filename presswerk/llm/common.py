@@ -92,7 +92,7 @@ class ChunkMemo(dict):
     #: Bytes that an entry takes besides its characters.
     ENTRY = 200
 
-    def __init__(self, make: Callable[[list], list[bytes]], limit: int = 64 << 20):
+    def __init__(self, make: Callable[[list], list[bytes]], limit: int = 48 << 20):
         super().__init__()
         self.make, self.limit, self.held = make, limit, 0
 
@@ -129,12 +129,18 @@ def worker_state(key, make: Callable):
     let go of it before it reads another's.
     """
     if key not in _worker_state:
-        _worker_state.clear()
-        give_back_memory()
+        drop_state()
         _worker_state[key] = make()
     return _worker_state[key]
 
 
+def drop_state() -> None:
+    """Lets go of what another operator has left in this worker."""
+    if _worker_state:
+        _worker_state.clear()
+        give_back_memory()
+
+
 def in_groups(values, chars: int = 1 << 20):
     """Lists of texts (null as empty) of about ``chars`` characters, so that memory follows neither batch nor table."""
     group, size = [], 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import math
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswerk.llm.common import ChunkMemo, bound_batches, connected_components, in_groups, stage, worker_state
+from presswerk.llm.common import ChunkMemo, bound_batches, connected_components, drop_state, give_back_memory, in_groups, stage
 
 #: Bands of ROWS signature values each.  A pair at similarity 0.85 shares no band with probability 4e-7, at 0.8 with 5e-5.
 BANDS, ROWS = 25, 5
@@ -29,10 +30,22 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def _memo() -> ChunkMemo:
+@contextlib.contextmanager
+def _memo():
+    """A memo of word hashes for one task.
+
+    A word is hashed so fast that it need not be remembered longer, while the
+    workers, of which several wait at a time, would each hold on to theirs.
+    """
     import xxhash
 
-    return worker_state("word hashes", lambda: ChunkMemo(lambda words: [xxhash.xxh3_64_digest(w) for w in words]))
+    drop_state()
+    memo = ChunkMemo(lambda words: [xxhash.xxh3_64_digest(w) for w in words])
+    try:
+        yield memo
+    finally:
+        memo.clear()
+        give_back_memory()
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -115,7 +128,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     """(doc_id, n_shingles, c1, c2, sig): c1 and c2 are equal for equal shingle sets."""
 
     def run(batches):
-        memo = _memo()
+        with _memo() as memo:
+            yield from described(batches, memo)
+
+    def described(batches, memo):
         for batch in batches:
             n, c1, c2, sig = [], [], [], []
             for texts in in_groups(batch.column(1)):
@@ -135,6 +151,7 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
     least = least_matches(num, den)
 
     def run(batches):
+        drop_state()
         for batch in batches:
             m = [np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, HASHES) for k in (2, 3)]
             yield batch.select([0, 1]).take(pa.array(stays(*m, least)))
@@ -148,6 +165,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     """The (a, b) whose full shingle sets are similar."""
 
     def run(batches):
+        drop_state()
         for batch in batches:
             keep, last, words = [], None, []
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
@@ -183,7 +201,10 @@ def _rest(spark: SparkSession, bands: DataFrame, reps: DataFrame, texts: DataFra
     rows = stage(spark, now.join(mixed, "key").select("key", "band", "rep", "component", "main", "askers", "asked"), "rows")
 
     def sets(batches):
-        memo = _memo()
+        with _memo() as memo:
+            yield from held_by(batches, memo)
+
+    def held_by(batches, memo):
         for batch in batches:
             out = []
             for group in in_groups(batch.column(1)):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswerk.llm.common import bound_batches, in_groups
+from presswerk.llm.common import bound_batches, drop_state, in_groups
 from presswerk.llm.tagger import KINDS, LABELS, NEVER, Tagger, encode
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -321,6 +321,7 @@ def detect(spark: SparkSession, docs: DataFrame, tagger: Tagger, *, id_col: str
     shared = spark.sparkContext.broadcast(tagger)
 
     def run(batches):
+        drop_state()
         for batch in batches:
             found = [f for texts in in_groups(batch.column(1)) for f in find(texts, shared.value)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _span_array([f[0] for f in found]), _span_array([f[1] for f in found])], names=["doc_id", "base", "spans"])
@@ -365,6 +366,7 @@ def redact(spark: SparkSession, docs: DataFrame, tagger: Tagger, *, text_col: st
     where = names.index(text_col)
 
     def run(batches):
+        drop_state()
         for batch in batches:
             texts = [t for group in in_groups(batch.column(where)) for t in (redacted(x, f[1]) for x, f in zip(group, find(group, shared.value)))]
             known = batch.column(where).is_valid().to_pylist()
