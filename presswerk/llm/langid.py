@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswerk.llm.common import ChunkMemo, bound_batches, in_groups, worker_state
+from presswerk.llm.common import ChunkMemo, bound_batches, drop_state, give_back_memory, in_groups, worker_state
 
 #: Bounds of the model: labelled rows it is fitted on (expected number), words, and n-grams of each length.
 SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS = 20_000, 60_000, 20_000
 ORDERS = (4, 3, 2, 1)
+#: Chunks that a task counts before it passes its counts on.
+HELD_CHUNKS = 100_000
 #: Words that count in full towards the score; a longer text's evidence is scaled to so many.
 EVIDENCE = 24
 
@@ -112,8 +114,10 @@ def fit(spark: SparkSession, labelled: DataFrame, *, id_col: str = "doc_id", tex
     """Counts words and n-grams of about ``sample_rows`` labelled rows, drawn by a hash of their id.
 
     Each task counts its rows, the counts are summed by key, and the most
-    frequent words and n-grams (bounded numbers) make the model.  Rows with null
-    text or lang are not used.
+    frequent words and n-grams make the model, MAX_WORDS and MAX_GRAMS of each
+    length, among those that occur twice.  Rows with null id, text or lang are not
+    used; repeated rows count each; other columns are not read.  An empty table
+    gives a model without languages.
     """
     bound_batches(spark)
     rows = labelled.select(labelled[id_col].cast("string").alias("key"), labelled[text_col].alias("text"), labelled[lang_col].alias("lang")).where("text is not null and lang is not null and key is not null")
@@ -121,16 +125,19 @@ def fit(spark: SparkSession, labelled: DataFrame, *, id_col: str = "doc_id", tex
     drawn = rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).select("lang", "text")
 
     def count(batches):
+        drop_state()
         by: dict[str, dict[str, int]] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = by.setdefault(lang, {})
                 for chunk in text.as_py().lower().split():
                     own[chunk] = own.get(chunk, 0) + 1
-            if sum(map(len, by.values())) > 400_000:
-                yield from counted(by)
-                by = {}
+                if sum(map(len, by.values())) > HELD_CHUNKS:
+                    yield from counted(by)
+                    by = {}
         yield from counted(by)
+        by = {}
+        give_back_memory()
 
     def counted(by):
         for lang, chunks in by.items():
@@ -183,7 +190,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, *, id_co
 
 
 def with_language(spark: SparkSession, docs: DataFrame, model: LanguageModel, lang_to: str, score_to: str, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with two further columns, the language and its score, as ``predict`` gives them."""
+    """``docs`` with two further columns, the language and its score, as ``predict`` gives them; the names must be new ones."""
     bound_batches(spark)
     shared, where = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
 
