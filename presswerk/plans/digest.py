@@ -214,6 +214,7 @@ def map_stage(batches: DataFrame, model: ChatModel, s: Settings, log: BatchLog |
     """
     size = F.length(fn.text(F.col("text"))) + F.length(fn.text(F.col("title"))) + F.length(fn.text(F.col("url"))) + 200
     ends = batches.groupBy("topic", "batch_id").agg(F.sum(size).alias("chars"), F.count("*").alias("n")).groupBy("topic").agg(F.max(F.struct("batch_id", "chars", "n")).alias("last"))
+    model = model.shared_by(s.topics_at_once)
     rows = batches.join(ends, "topic").select("topic", "batch_id", "ord", "id", "title", "source", "url", "text", F.col("last.batch_id").alias("total"), F.col("last.chars").alias("last_chars"), F.col("last.n").alias("last_n"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,7 +235,7 @@ def reduce_stage(summaries: DataFrame, sources: DataFrame, model: ChatModel, s:
 
     ``sources``: topic, lines.
     """
-    budget = max(256, s.context - s.output - s.margin)
+    budget, model = max(256, s.context - s.output - s.margin), model.shared_by(s.topics_at_once)
 
     def run(batches):
         for pdf in batches:

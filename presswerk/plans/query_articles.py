@@ -250,10 +250,23 @@ def decimate_summaries(spark, d):
     return sel.decimate(views.summaries(spark, d), 3, "created", "id").select("id", "created")
 
 
-@query(_PLAN + rf"""select topic, batch_id, 'Batch ' || batch_id || ' of ' || max(batch_id) over (partition by topic) || ':' || chr(10) || corpus as prompt from (
-  select topic, batch_id, string_agg('[' || rn || '] ' || title || ' (' || source || ') ' || url || case when body = '' then '' else chr(10) || body end, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rn) as corpus from (
-    select p.topic, p.batch_id, row_number() over (partition by p.topic, p.batch_id order by p.ord) as rn, title, source, url, case when length({_S}) <= 6000 then {_S} else {_S}[:6000] || '…' end as body
-    from p join articles a on a.id = p.id) group by all)""")
+_PROMPTS = (
+    _PLAN
+    + rf""", corpora as (select topic, batch_id, count(*) as n, string_agg(id, ',' order by rn) as ids,
+    string_agg('[' || rn || '] ' || title || ' (' || source || ') ' || url || case when body = '' then '' else chr(10) || body end, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rn) as corpus from (
+    select p.topic, p.batch_id, p.id, row_number() over (partition by p.topic, p.batch_id order by p.ord) as rn, title, source, url, case when length({_S}) <= 6000 then {_S} else {_S}[:6000] || '…' end as body
+    from p join articles a on a.id = p.id) group by all),
+prompts as (select topic, batch_id, n, ids, %HEAD% || corpus as prompt from (select *, max(batch_id) over (partition by topic) as total from corpora))
+select %OUT% from prompts"""
+)
+
+
+def batch_prompts_sql(head: str, out: str) -> str:
+    """SQL on the prompts of all batches: ``head`` comes before the articles, ``out`` are the columns."""
+    return _PROMPTS.replace("%HEAD%", head).replace("%OUT%", out)
+
+
+@query(batch_prompts_sql("'Batch ' || batch_id || ' of ' || total || ':' || chr(10)", "topic, batch_id, prompt"))
 def batch_prompt(spark, d):
     """The prompt of every batch, with its number and how many its topic has."""
     rows = packed(spark, d).join(views.articles(spark, d).select("id", "title", "source", "url", fn.clip(F.col("text"), 6000).alias("body")), "id")

@@ -110,6 +110,18 @@ def test_fallback_chain():
     assert chat.read_answer([b'{"message":{"content":"a"}}', b"", b'{"message":{"content":"b"},"done":true}']) == "ab"
 
 
+def test_providers_of_a_config():
+    one = {"provider": "x_cloud", "base_url": "http://a/", "max_rps": 4, "quota": {"max_quota_retries": 2, "default_wait_s": 9}}
+    chain = chat.from_config({"llm": one, "llm_fallback": {"provider": "x_local", "max_rps": 4, "max_retries": 5}})
+    assert [(m.spacing, m.attempts) for m in chain.models] == [(1.0, 3), (0.25, 5)] and (chain.waits, chain.wait) == (2, 9)
+    assert chain.models[0].url == "http://a/api/chat" and chat.from_config({"llm": [one]}).spacing == 1
+    assert isinstance(chat.from_config({}), chat.ExtractiveModel)
+    for wrong in ({"llm": ["x"]}, {"llm": one, "llm_fallback": "x"}):
+        with pytest.raises(ValueError):
+            chat.from_config(wrong)
+    assert [m.spacing for m in chain.shared_by(4).models] == [4.0, 1.0] and chain.models[0].spacing == 1
+
+
 def test_meta_fit_prefers_newest():
     t = "{lookback}|{batch_summaries}|{sources_list}"
     got = bg.fit_meta(t, [(1, "old " * 50), (2, "new " * 50)], "src", lookback="", budget=150)
