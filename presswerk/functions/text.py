@@ -83,7 +83,7 @@ def trim_tail_alnum(c: Column, tokens: Column, chars_per_token: float = 2.4) ->
     """Like trim_tail, but back to the last character that is no letter or digit, with a shorter mark."""
     s = text(c)
     target = F.length(s) - F.floor(F.greatest(F.lit(1), tokens) * F.lit(float(chars_per_token))).cast("int")
-    head = F.regexp_replace(F.substring(s, F.lit(1), target), r"[\p{L}\p{N}]+$", "")
+    head = F.regexp_replace(F.substring(s, F.lit(1), target), r"[\p{L}\p{N}]+\z", "")  # $ would also match before a line end
     return F.when(s == "", s).when(target <= 0, CUT_MARK.lstrip()).otherwise(F.concat(rstrip(head), F.lit(SHORT_MARK)))
 
 

@@ -61,6 +61,21 @@ def test_trim_tail_keeps_words(spark):
         assert got == [plain(c, tokens, 2.4) for c in cases]
 
 
+def test_trim_tail_alnum_stops_at_line_ends(spark):
+    def plain(s, tokens):
+        target = len(s) - int(max(1, tokens) * 2.4)
+        if not s or target <= 0:
+            return s and fn.CUT_MARK.lstrip()
+        while target > 0 and s[target - 1].isalnum():
+            target -= 1
+        return s[:target].rstrip() + fn.SHORT_MARK
+
+    cases = ["", "short", *(f"one two{end}" + "x" * 9 for end in ["", " ", "\n", "\r\n", "\u2028", "\n\n"])]
+    for tokens in (0, 1, 4, 5):  # 4 tokens are nine characters
+        got = [r[0] for r in values(spark, [(c,) for c in cases], "t string", fn.trim_tail_alnum(F.col("t"), F.lit(tokens)))]
+        assert got == [plain(c, tokens) for c in cases]
+
+
 def test_messages(spark):
     m = [("system", "s"), ("user", "x" * 2000), ("assistant", None)]
     rows = [(m,), ([("assistant", "only")],), ([],)]
