@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswerk.llm import langid, minhash, packing, pii
-from presswerk.llm.common import stage, table
+from presswerk.llm.common import freeing_shuffles, stage, table
 
 #: A text whose best language is less likely than this is rejected, as is one without letters.
 LEAST_SCORE = 0.5
@@ -31,6 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.with_language(spark, docs, model, "__lang", "__score").where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).withColumn("lang", F.coalesce("lang", "__lang")).drop("__lang", "__score")
 
 
+@freeing_shuffles
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group (five words, 0.8), that with the smallest doc_id.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -45,6 +46,26 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freeing_shuffles(f: Callable) -> Callable:
+    """For f(spark, ...): the shuffle files of each query that runs in it go as soon as the query has ended.
+
+    Else they stay until the driver happens to collect its garbage, so that
+    those of all staged tables add up.  What is staged is read from its files.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *args, **kwargs):
+        before = spark.conf.get(key, "false")
+        spark.conf.set(key, "true")
+        try:
+            return f(spark, *args, **kwargs)
+        finally:
+            spark.conf.set(key, before)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswerk.llm.common import ChunkMemo, bound_batches, connected_components, drop_state, give_back_memory, in_groups, stage
+from presswerk.llm.common import ChunkMemo, bound_batches, connected_components, drop_state, freeing_shuffles, give_back_memory, in_groups, stage
 
 #: Bands of ROWS signature values each.  A pair at similarity 0.85 shares no band with probability 4e-7, at 0.8 with 5e-5.
 BANDS, ROWS = 25, 5
@@ -244,6 +244,7 @@ def _rest(spark: SparkSession, bands: DataFrame, reps: DataFrame, texts: DataFra
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
+@freeing_shuffles
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest linked doc_id), kept.
 

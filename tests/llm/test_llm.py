@@ -6,7 +6,9 @@ import gzip
 import random
 import re
 import struct
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -514,6 +516,18 @@ def test_minhash_of_very_long_texts(spark, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
 
 
+def test_minhash_frees_its_shuffles(spark):
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*")}
+    before = held()
+    minhash.near_duplicates(spark, docs(spark, [f"{'a b c d e f g h i j k l m n o p q r s t u v'} {k % 3}" for k in range(6)]))
+    for _ in range(50):  # files go in the background
+        if not (left := held() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+
+
 def test_minhash_exact_verification_and_pruning():
     rng = random.Random(13)
     for size in (1, 3, 5):
